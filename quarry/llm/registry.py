@@ -1,7 +1,7 @@
 """Queries of this subpackage and their SQL."""
 
-from quarry.llm import quality, toxicity
+from quarry.llm import decontamination, mixing, quality, sharding, simhash, tokens, toxicity
 
-_MODULES = (quality, toxicity)
+_MODULES = (decontamination, quality, simhash, tokens, toxicity, mixing, sharding)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE_SQL", {}).items()}
