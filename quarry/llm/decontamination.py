@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import fresh, table
 
 _TOKEN = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -175,8 +175,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, min_match: int = M
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """The documents that hold no test passage, with their columns as they were."""
-    found = contamination(documents, benchmark, min_match, coverage, output="__found")
-    return found.where(F.size("__found") == 0).drop("__found")
+    name = fresh(documents, "found")
+    found = contamination(documents, benchmark, min_match, coverage, output=name)
+    return found.where(F.size(name) == 0).drop(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, table
+from quarry.llm.common import WORD, table, whole_rows
 
 #: Weights of the sources in code point order (null last), repeated as often as needed.
 WEIGHTS = (5, 2, 1)
@@ -79,9 +79,9 @@ def copies(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 0) -> DataFrame:
     """The mix itself: every row of ``documents`` as many times as it is taken, with its columns as they were."""
-    narrow = [c for c in documents.columns]
-    taken = copies(documents, weights, max_copies, seed)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1)).cast("int")))).where("__copies > 0").select(*narrow)
+    rows = documents.select("doc_id", "source", "text", whole_rows(documents).alias("row"))
+    taken = copies(rows, weights, max_copies, seed).where("__copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

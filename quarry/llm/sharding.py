@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from quarry.llm.common import new_folder, table
+from quarry.llm.common import new_folder, table, whole_rows
 
 #: Bytes of text (UTF-8) in a full shard, and how many shards of one size tier make a run.
 TARGET_BYTES = 64 << 20
@@ -70,7 +71,8 @@ class ShardStore:
 
     # -- data ------------------------------------------------------------------------------------------------------
 
-    def _read(self, schema) -> DataFrame:
+    def _read(self, schema: StructType) -> DataFrame:
+        schema = StructType([StructField("row", schema)])
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data")
 
     def append(self, documents: DataFrame, arrival: str) -> int:
@@ -81,9 +83,10 @@ class ShardStore:
         old = self.version()
         run = f"{arrival}-{old + 1:08d}"
         folder = f"{self.path}/data/__run={run}"
-        documents.write.option("compression", "zstd").parquet(folder)
-        part = self.spark.read.schema(documents.schema).parquet(folder)
-        shards = self._measured(part.select("text", F.concat(F.lit(f"{run}/"), F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("shard")))
+        rows = documents.select(whole_rows(documents).alias("row"))
+        rows.write.option("compression", "zstd").parquet(folder)
+        part = self.spark.read.schema(rows.schema).parquet(folder)
+        shards = self._measured(part.select("row.text", F.concat(F.lit(f"{run}/"), F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("shard")))
         self._commit(self.manifest(old).unionByName(shards), old + 1)
         return old + 1
 
@@ -105,7 +108,7 @@ class ShardStore:
         small = shards.where(F.col("tier") < 3).withColumn("__many", many).withColumn("__run", F.floor(before / F.lit(self.target_bytes)))
         return small.where("__many").select("shard", F.concat_ws("-", F.lit("tier"), F.col("tier"), F.lpad(F.col("__run").cast("string"), 8, "0")).alias("to"))
 
-    def compact(self, schema, force: bool = False) -> int:
+    def compact(self, schema: StructType, force: bool = False) -> int:
         """Merges like-sized shards into runs of about target size and commits; returns the version.
 
         Very long texts make a shard larger than the target, never a split document. Nothing to merge: no new version.
@@ -118,29 +121,33 @@ class ShardStore:
             return old
         made = f"c{old + 1:08d}-{uuid.uuid4().hex[:12]}"  # what a failed attempt left behind is never read
         into = plan.select(F.col("shard").alias("__from"), F.concat(F.lit(f"{made}-"), "to").alias("__run"))
-        moved = self.rows(schema, old).join(into, F.col("__shard") == F.col("__from")).drop("__from", "__shard")
+        moved = self.placed(schema, old).join(into, F.col("shard") == F.col("__from")).select("row", "__run")
         moved.repartition(n, "__run").write.option("compression", "zstd").partitionBy("__run").mode("append").parquet(f"{self.path}/data")
-        done = self._named(self._read(schema).where(F.col("__run").startswith(f"{made}-"))).select("text", F.col("__shard").alias("shard"))
+        done = self._named(self._read(schema).where(F.col("__run").startswith(f"{made}-"))).select("row.text", "shard")
         kept = shards.join(plan.select("shard"), "shard", "left_anti")
         self._commit(kept.unionByName(self._measured(done)), old + 1)
         return old + 1
 
     def _named(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("__shard", F.concat("__run", F.lit("/"), F.element_at(F.split("_metadata.file_path", "/"), -1)))
+        return rows.withColumn("shard", F.concat("__run", F.lit("/"), F.element_at(F.split("_metadata.file_path", "/"), -1)))
 
-    def rows(self, schema, version: int | None = None) -> DataFrame:
-        """The documents of a version with ``__shard``, the shard that holds each."""
+    def placed(self, schema: StructType, version: int | None = None) -> DataFrame:
+        """(row, shard): each document of a version as one struct, with the shard that holds it."""
         listed = self.manifest(version).select(F.col("shard").alias("__listed"))
         named = self._named(self._read(schema))
-        same = (F.col("__run") == F.split("__listed", "/")[0]) & (F.col("__shard") == F.col("__listed"))
+        same = (F.col("__run") == F.split("__listed", "/")[0]) & (F.col("shard") == F.col("__listed"))
         return named.join(listed, same, "left_semi").drop("__run")
 
+    def documents(self, schema: StructType, version: int | None = None) -> DataFrame:
+        """The documents of a version, with their columns as they were."""
+        return self.placed(schema, version).select("row.*")
+
 
 def shard(documents: DataFrame, path: str | None = None, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, arrivals: int = 4) -> ShardStore:
     """Stores ``documents`` in ``arrivals`` appends and compacts them; returns the store.
 
     Null texts count 0 bytes. Repeated rows are each kept. A table without rows gives a store without shards. Columns of
-    any name and type are kept; only ``__run`` and ``__shard`` are reserved.
+    any name are kept, as a document is stored as one struct.
     """
     spark = documents.sparkSession
     store = ShardStore(spark, path or new_folder(spark, "shards"), target_bytes, fan_in)
@@ -151,11 +158,15 @@ def shard(documents: DataFrame, path: str | None = None, target_bytes: int = TAR
     return store
 
 
+def assignments(store: ShardStore, documents: DataFrame) -> DataFrame:
+    """(shard, doc_id, tier, shard_rows, shard_bytes) of every stored document."""
+    placed = store.placed(documents.schema).select("row.doc_id", "shard")
+    return placed.join(store.manifest().select("shard", "tier", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes")), "shard")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    store = shard(documents)
-    placed = store.rows(documents.schema).select("doc_id", F.col("__shard").alias("shard"))
-    return placed.join(store.manifest().select("shard", "tier", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes")), "shard")
+    return assignments(shard(documents), documents)
 
 
 QUERIES = {"op10_sharding": op10_sharding}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, table
+from quarry.llm.common import stored, table, whole_rows
 from quarry.llm.components import components
 
 SHINGLE = 3
@@ -103,14 +104,37 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, seed: int = SE
     """
     prints = stored(fingerprints(documents.select("doc_id", F.col(text).alias("text")), shingle, seed).select("doc_id", "fingerprint"), "simhash")
     first = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "simhash-first")
-    roots = components(links(first))
-    joined = first.join(roots, first["fingerprint"] == roots["node"])
-    small = joined.groupBy("root").agg(F.min("first").alias("component"))
-    linked = joined.join(small, "root").select(F.col("fingerprint").alias("__f"), "component")
-    final = first.join(linked, first["fingerprint"] == linked["__f"], "left").select("fingerprint", F.coalesce("component", "first").alias("component_id"))
+    rooted = _rooted(first)
+    small = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    final = rooted.join(small, "root").select("fingerprint", "component_id")
     return prints.join(final, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def _rooted(first: DataFrame) -> DataFrame:
+    """``first`` (a row per fingerprint) with ``root``: the smallest fingerprint that can be reached."""
+    roots = components(links(first))
+    return first.join(roots, first["fingerprint"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fingerprint")).drop("node")
+
+
+def deduplicate(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text: str = "text") -> DataFrame:
+    """One row of each group of ``near_duplicates``, with its columns as they were: that of the smallest doc_id.
+
+    Null ids come last, smaller text hashes first; of rows alike in id and text one stays. A row is known by its id and
+    the hash of its text. Rows alike are brought down to one before the shuffle, so no row that a third of the table
+    repeats lands in one task, and the texts are shuffled once. Empty table: no rows.
+    """
+    body = F.col(text).cast("string")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("string").alias("same"), F.xxhash64(body).alias("h"))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), key.alias("key"))
+    prints = fingerprints(documents.select("doc_id", body.alias("text"), place.alias("place")), shingle, seed, output="fingerprint")
+    first = stored(prints.groupBy("fingerprint").agg(F.min("place").alias("place")), "simhash-first")
+    keepers = _rooted(first).groupBy("root").agg(F.min("place").alias("place")).select("place.key")
+    rows = documents.select(whole_rows(documents).alias("row"), key.alias("key"))
+    sortable = [F.col(f"row.`{f.name}`") for f in documents.schema if not re.search("map<|variant|void", f.dataType.simpleString())]
+    alike = rows.groupBy("key").agg(F.min_by("row", F.struct(*sortable)).alias("row"))
+    return alike.join(keepers, "key", "left_semi").select("row.*")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

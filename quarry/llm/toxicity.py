@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, labelled_rows, stored, table
+from quarry.llm.common import fresh, held_out, labelled_rows, stored, table
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -158,6 +158,12 @@ def scores(documents: DataFrame, model: NoisyOr, text: str = "text", output: str
     return documents.withColumn(output, score(F.col(text).cast("string")))
 
 
+def clean(documents: DataFrame, model: NoisyOr, below: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` whose score stays under ``below``, with their columns as they were."""
+    name = fresh(documents, "score")
+    return scores(documents, model, output=name).where(F.col(name) < below).drop(name)
+
+
 def locate(documents: DataFrame, model: NoisyOr, text: str = "text", output: str = "offending", at_least: float = 0.5) -> DataFrame:
     """``documents`` with an array of the offending sentences: start, end (characters) and probability."""
 
