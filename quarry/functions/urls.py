@@ -67,7 +67,7 @@ def resolve(base: Column, link: Column) -> Column:
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))
     )
     for pattern, to in ((r"/(?:\./)+", "/"), *[(r"(://[^/]+(?:/[^/?#]+)*?)/(?!\.\./)[^/?#]+/\.\./", "$1/")] * 4, (r"(://[^/]+)/(?:\.\./)+", "$1/")):
-        joined = F.when(joined.contains("./"), F.regexp_replace(joined, pattern, to)).otherwise(joined)
+        joined = F.regexp_replace(joined, pattern, to)
     return joined
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import index, scoring, search
+from quarry.operators.lineage import settled
 
 
 def feedback_terms(tokenised: DataFrame, terms: DataFrame, top_docs: int = 10, n_terms: int = 5) -> DataFrame:
@@ -56,5 +57,5 @@ def expanded(terms: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def rerun(tokenised: DataFrame, terms: DataFrame, extra: DataFrame, model: str = "bm25_default", most: int = 1000) -> DataFrame:
-    """The ranking of the expanded queries."""
-    return scoring.ranked(scoring.scores(tokenised, expanded(terms, extra), model), most)
+    """The ranking of the expanded queries. The expansion, a few rows per query, is computed once."""
+    return scoring.ranked(scoring.scores(tokenised, settled(expanded(terms, extra)), model), most)

@@ -81,8 +81,9 @@ def base_set(roots: DataFrame, edges: DataFrame, rounds: int = 3, per_page: int
 def hits(edges: DataFrame, base: DataFrame, iterations: int = 11, tolerance: float | None = None, every: int = 2) -> DataFrame:
     """(page, authority, hub) over links inside the base set, repeated links counted; both have norm 1.
 
-    Authorities are sums of hubs that link in, hubs sums of the new authorities linked to. ``tolerance``: stop when no
-    authority moves further than that.
+    Authorities are sums of hubs that link in, hubs sums of the new authorities linked to. Scaling commutes with both
+    sums, so hubs are brought to norm 1 only where a checkpoint ends a stretch of ``every`` iterations, and authorities
+    at the end. ``tolerance``: stop when no authority moves further than that. One number a stretch reaches the driver.
     """
     ends = base.select("page")
     inside = edges.join(ends.select(F.col("page").alias("src")), "src", "left_semi").join(ends.select(F.col("page").alias("dst")), "dst", "left_semi")
@@ -90,25 +91,30 @@ def hits(edges: DataFrame, base: DataFrame, iterations: int = 11, tolerance: flo
     pages = settled(ends.distinct())
 
     def side(given: DataFrame, frm: str, to: str, value: str, name: str) -> DataFrame:
-        total = pairs.join(given.select(F.col("page").alias(frm), F.col(value).alias("x")), frm).groupBy(F.col(to).alias("page")).agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-        norm = F.broadcast(total.agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm")))  # one row
-        scaled = total.crossJoin(norm).select("page", F.when(F.col("norm") > 0, F.col("s") / F.col("norm")).otherwise(0.0).alias(name))
-        return pages.join(scaled, "page", "left").select("page", F.coalesce(name, F.lit(0.0)).alias(name))
+        rows = pairs.join(given.select(F.col("page").alias(frm), F.col(value).alias("x")), frm)
+        return rows.groupBy(F.col(to).alias("page")).agg(F.sum(F.col("w") * F.col("x")).alias(name))
+
+    def unit(rows: DataFrame, name: str) -> DataFrame:
+        rows = settled(rows)
+        norm = rows.agg(F.sqrt(F.sum(F.col(name) * F.col(name)))).first()[0]
+        return rows.select("page", (F.col(name) / F.lit(norm)).alias(name)) if norm else rows.select("page", F.lit(0.0).alias(name))
 
     hubs, last = pages.withColumn("hub", F.lit(1.0)), None
     for i in range(iterations):
         authorities = side(hubs, "src", "dst", "hub", "authority")
-        if tolerance is not None or i + 1 == iterations or (i + 1) % every == 0:
-            authorities = settled(authorities)
+        if tolerance is not None or i + 1 == iterations:
+            authorities = unit(authorities, "authority")
         hubs = side(authorities, "dst", "src", "authority", "hub")
+        if tolerance is not None or i + 1 == iterations or (i + 1) % every == 0:
+            hubs = unit(hubs, "hub")
         if tolerance is not None:
-            hubs = settled(hubs)
             if last is not None:
-                moved = authorities.join(last.withColumnRenamed("authority", "was"), "page").agg(F.max(F.abs(F.col("authority") - F.col("was")))).first()[0]
+                moved = authorities.join(last.withColumnRenamed("authority", "was"), "page", "full").agg(F.max(F.abs(F.coalesce("authority", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
                 if moved is None or moved < tolerance:
                     break
             last = authorities
-    return authorities.join(hubs, "page").select("page", "authority", "hub")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return pages.join(authorities, "page", "left").join(hubs, "page", "left").select("page", zero("authority"), zero("hub"))
 
 
 def report(ranks: DataFrame, edges: DataFrame, most: int = 500) -> DataFrame:

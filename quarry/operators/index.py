@@ -54,13 +54,13 @@ def merge(generations: list[DataFrame]) -> DataFrame:
 
 
 def corpus_statistics(tokenised_: DataFrame, vocabulary: bool = True, approximate: bool = False) -> DataFrame:
-    """One row: n_docs, avgdl, total (tokens) and, if asked, vocab (exact, or by a sketch of 0.5 % deviation)."""
+    """One row: n_docs, avgdl, total (tokens) and, if asked, vocab (exact, or by a sketch of about 0.5 % deviation)."""
     base = tokenised_.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total"))
     if not vocabulary:
         return base
     terms = tokenised_.select(F.explode("tokens").alias("term"))
     if approximate:
-        return base.crossJoin(terms.agg(F.approx_count_distinct("term", 0.005).alias("vocab")))
+        return base.crossJoin(terms.agg(F.hll_sketch_estimate(F.hll_sketch_agg("term", F.lit(15))).alias("vocab")))
     return base.crossJoin(terms.distinct().agg(F.count("*").alias("vocab")))  # one row each
 
 

@@ -36,6 +36,13 @@ def features(runs: dict[str, DataFrame], judgements: DataFrame, universe: str) -
     return wide.where("wanted = 1").drop("wanted")
 
 
+def joined_features(scores: DataFrame, judgements: DataFrame) -> DataFrame:
+    """``scores`` (query_id, doc_id, one column per model) with label; judged documents without scores get zeros."""
+    names = [c for c in scores.columns if c not in ("query_id", "doc_id")]
+    rows = scores.join(judgements.select("query_id", "doc_id", F.col("grade").cast("int").alias("label")), ["query_id", "doc_id"], "full")
+    return rows.select("query_id", "doc_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names], F.coalesce("label", F.lit(0)).alias("label"))
+
+
 def query_split(queries: DataFrame, n_test: int = 5, seed: str = "42") -> DataFrame:
     """(query_id, split): the ``n_test`` queries of smallest MD5 are "test"."""
     h = F.md5(F.concat(F.lit(seed), F.col("query_id").cast("string")).cast("binary"))

@@ -80,6 +80,14 @@ def scores(tokenised: DataFrame, terms: DataFrame, model: str = "bm25", candidat
     return rows.groupBy("query_id", "doc_id").agg(total.alias("score")).where("score <> 0")
 
 
+def score_table(tokenised: DataFrame, terms: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """(query_id, doc_id, one column per model), without penalties for absent terms, all from one join and one sum."""
+    own = {m: x for m, x in _models().items() if m in models}
+    stats = F.broadcast(index.corpus_statistics(tokenised, any(x[2] for x in own.values())))  # one row
+    rows = matches(tokenised, terms).crossJoin(stats)
+    return rows.groupBy("query_id", "doc_id").agg(*[F.sum(F.col("qtf") * own[m][0]).alias(m) for m in models])
+
+
 def ranked(scored: DataFrame, most: int | None = 1000, digits: int | None = None) -> DataFrame:
     """(query_id, doc_id, rank, score), best first, ties to smaller ids; ``most`` per query are kept before the sort ends."""
     score = F.round("score", digits) if digits is not None else F.col("score")

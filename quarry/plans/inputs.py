@@ -31,8 +31,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From each part of an order to the next, by line number and part."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    """From each part of an order to the next, by line number, part and quantity."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "l_quantity")
     return rows.where("dst IS NOT NULL")
 
@@ -96,6 +96,6 @@ def sql_ranked(source: str = "s", out: str = "r", most: int | None = 1000) -> st
     return f"{out} AS MATERIALIZED (SELECT query_id, doc_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank, score FROM {source}{cut})"
 
 
-SQL_EDGES = "e AS MATERIALIZED (SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_quantity FROM lineitem) WHERE dst IS NOT NULL)"
+SQL_EDGES = "e AS MATERIALIZED (SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS dst, l_quantity FROM lineitem) WHERE dst IS NOT NULL)"
 SQL_JUDGEMENTS = f"j AS (SELECT doc_id, quality + toxic AS grade, query_id FROM labels, (VALUES {', '.join(f'({q})' for q, _ in TOPICS)}) v(query_id))"
 SQL_MAILS = "m AS MATERIALIZED (SELECT d.doc_id, regexp_extract_all(lower(coalesce(d.text, '')), '[\\p{L}\\p{N}_]+') AS tokens, l.toxic AS label, CASE WHEN ('0x' || substr(md5(d.doc_id::VARCHAR), 1, 8))::BIGINT < 3435973836 THEN 'train' ELSE 'test' END AS split FROM documents d JOIN labels l USING (doc_id))"

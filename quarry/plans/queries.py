@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import codec, text, urls
 from quarry.operators import evaluation, expansion, graph, index, learning, scoring, search
+from quarry.operators.lineage import settled
 from quarry.plans.inputs import (
     FEATURES, SQL_EDGES, SQL_JUDGEMENTS, SQL_MAILS, SQL_TERMS, STEMS, STOPS, corpus, edges, judgements, mails, pages,
     sql_ranked, sql_scores, sql_tokens, sql_words, table, terms,
@@ -128,7 +129,7 @@ def vocabulary_sketch(spark, d):
     return index.corpus_statistics(corpus(spark, d), approximate=True)
 
 
-@query(f"WITH {_DOC}, a AS (SELECT term, min((doc_id, pos)) AS at FROM tok GROUP BY term) SELECT term, row_number() OVER (ORDER BY at) AS term_id FROM a")
+@query(f"WITH {_DOC}, a AS (SELECT term, min((doc_id, pos)) AS seen FROM tok GROUP BY term) SELECT term, row_number() OVER (ORDER BY seen) AS term_id FROM a")
 def term_ids(spark, d):
     return index.first_seen_ids(index.tokens(corpus(spark, d)))
 
@@ -587,9 +588,8 @@ _LTR = ("okapi_tf", "tf_idf", "bm25", "bm25_default", "lm_laplace", "lm_jelinek_
 
 
 def _features(spark, d):
-    whole, asked = corpus(spark, d), terms(spark)
-    runs = {m: scoring.scores(whole, asked, m, penalise=False).withColumn("score", F.round("score", 6)) for m in _LTR}
-    return learning.features(runs, judgements(spark, d), "bm25_default")
+    table_ = scoring.score_table(corpus(spark, d), terms(spark), _LTR)
+    return learning.joined_features(table_.select("query_id", "doc_id", *[F.round(m, 6).alias(m) for m in _LTR]), judgements(spark, d))
 
 
 @query(f"""{_MATCH}, {", ".join(sql_scores(m, out=f"s_{m}").replace(" + -1000 * (any_value(n) - sum(qtf))", "") for m in _LTR)}, {SQL_JUDGEMENTS},
@@ -601,7 +601,7 @@ def ltr_features(spark, d):
 
 @query()
 def ltr_rerank(spark, d):
-    rows = _features(spark, d)
+    rows = settled(_features(spark, d))
     split = learning.query_split(rows, 1)
     rows = rows.join(F.broadcast(split), "query_id")  # a row per query
     model = learning.ols(rows.where("split = 'train'"), list(_LTR))
