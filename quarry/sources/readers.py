@@ -32,7 +32,7 @@ def documents(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", bloc
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if skip:
         files = files.where(~F.lower(F.element_at(F.split("path", "/"), -1)).contains(skip))
-    docs = files.select("path", F.posexplode(F.regexp_extract_all(F.decode("content", F.lit(encoding)), F.lit(r"(?s)<DOC>(.*?)</DOC>"), F.lit(1))).alias("at", "doc"))
+    docs = files.select("path", F.posexplode(F.regexp_extract_all(F.decode("content", encoding), F.lit(r"(?s)<DOC>(.*?)</DOC>"), F.lit(1))).alias("at", "doc"))
     texts = F.transform(F.regexp_extract_all("doc", F.lit(r"(?s)<TEXT>(.*?)</TEXT>"), F.lit(1)), F.trim)
     body = F.coalesce(F.element_at(F.when(F.size(texts) > 0, texts), -1), F.lit("")) if blocks == "last" else F.array_join(texts, " ")
     rows = docs.select(F.trim(F.regexp_extract("doc", r"<DOCNO>\s*(\S+)\s*</DOCNO>", 1)).alias("doc_id"), body.alias("text"), "path", "at").where("doc_id <> ''")
