@@ -1,0 +1,331 @@
+"""Each operator against a brute-force version on small tables, and its odd rows: nulls, empty, long, repeated, clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quarry.llm import decontamination, mixing, neighbours, quality, sharding, simhash, substrings, tokens, toxicity, warc
+from quarry.llm.common import fresh, held_out
+from quarry.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint string, shard string, row string, `copy` string, found int"
+LONG = " ".join(f"w{i % 997}x{i % 31}" for i in range(60_000))
+PASSAGE = " ".join(f"p{i}" for i in range(60))
+
+
+def odd_rows():
+    rows = [(1, "One two three four.", "s1"), (1, "One two three four.", "s1"), (2, None, None), (3, "", "s2"), (None, "a text without id", "s1"), (None, None, None), (4, " \t\n ", "s3"), (5, LONG, "s1"), (6, "x " + PASSAGE, "s2"), (7, PASSAGE + " y", "s2"), (8, PASSAGE, None), (9, "Ünï çödé   wide space", "s2")]
+    return [(i, t, None, s, None, 1.5, "f", "s", "r", "c", 7) for i, t, s in rows]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def documents(spark, small):
+    return spark.read.parquet(f"{small}/documents.parquet")
+
+
+def table(small, name):
+    return pd.read_parquet(f"{small}/{name}.parquet")
+
+
+def counted(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+# -- 1 ---------------------------------------------------------------------------------------------------------------------
+
+
+def brute_coverage(doc, item, k):
+    """Longest free common run first, until none of k tokens is left."""
+    a, b, used_a, used_b, covered = decontamination.tokens(doc), decontamination.tokens(item), set(), set(), 0
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(b)):
+            for i in range(len(a)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        if best[0] < k:
+            return covered / max(len(b), 1)
+        n, i, j = best
+        used_a |= set(range(i, i + n))
+        used_b |= set(range(j, j + n))
+        covered += n
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tiling(seed):
+    rng = np.random.default_rng(seed)
+    word = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 12, n))
+    item = word(30)
+    parts = item.split()
+    doc = " ".join([word(10), *parts[15:], word(5), *parts[:15], word(10)])
+    found = list(decontamination.Passages([(1, item)], 4).matches(doc))
+    assert found and found[0][1] == pytest.approx(brute_coverage(doc, item, 4))
+    tiles = found[0][2]
+    places = [x for _, p, n in tiles for x in range(p, p + n)]
+    assert len(places) == len(set(places))
+
+
+def test_contamination(spark, documents, small, odd):
+    bench = table(small, "benchmark")
+    got = {r.doc_id: set(r.ids) for r in decontamination.contamination(documents, spark.createDataFrame(bench)).select("doc_id", F.col("contamination.item_id").alias("ids")).collect()}
+    for d in table(small, "documents").itertuples():
+        for b in bench.itertuples():
+            if b.text in (d.text or ""):
+                assert b.item_id in got[d.doc_id]
+    items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, "a b"), (None, PASSAGE)], "item_id long, text string")
+    for block in (decontamination.BLOCK_TOKENS, 10):
+        rows = decontamination.contamination(odd, items, block_tokens=block).collect()
+        assert len(rows) == len(odd_rows()) and {r.doc_id for r in rows if r.contamination} == {6, 7, 8}
+    kept = decontamination.decontaminate(odd, items)
+    assert kept.columns == odd.columns and counted(kept) == counted(odd.where("doc_id IS NULL OR doc_id NOT IN (6, 7, 8)"))
+    assert decontamination.decontaminate(odd, items.limit(0)).count() == len(odd_rows())
+    assert decontamination.decontaminate(odd.limit(0), items).count() == 0
+
+
+# -- 2, 8 --------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("op,label,at_least", [(quality.op2_quality, "quality", 0.9), (toxicity.op8_toxicity, "toxic", 0.85)])
+def test_classifier(spark, small, op, label, at_least):
+    got = op(spark, small).toPandas().merge(table(small, "labels"), on="doc_id")
+    assert (got.held_out == got.doc_id.map(lambda x: zlib.crc32(str(x).encode()) % 5 == 0)).all()
+    assert got.score.between(0, 1).all()
+    assert (got.predicted == got[label])[got.held_out].mean() >= at_least
+
+
+def test_classifier_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 1), (5, None, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    for m, train, label in ((quality, quality.train, "quality"), (toxicity, toxicity.train, "toxic")):
+        for rows in (labels, labels.limit(0)):
+            out = m.scores(odd, train(odd, rows, label))
+            assert out.count() == len(odd_rows()) and out.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+    model = toxicity.NoisyOr(-6.0, {"bad": 12.0})
+    assert toxicity.clean(odd, model).count() == len(odd_rows())
+    bad = spark.createDataFrame([(1, "fine here. a Bad one! fine")], "doc_id long, text string")
+    assert toxicity.clean(bad, model).count() == 0
+    spans = toxicity.locate(bad, model).first().offending
+    assert [("fine here. a Bad one! fine"[s.start : s.end]).strip() for s in spans] == ["a Bad one!"]
+
+
+def test_fold(spark):
+    rows = spark.createDataFrame([(i,) for i in (0, 7, 123456789012)] + [(None,)], "doc_id long").select("doc_id", held_out(F.col("doc_id")).alias("h")).collect()
+    assert all(r.h == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+# -- 3 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_warc(spark, small, tmp_path):
+    long = "é" * 600
+    pages = spark.createDataFrame([(1, "http://a", long), (2, "http://b", long), (3, None, long), (4, "http://a\r\nX: 1", "short"), (5, "u", "short"), (6, "u", None), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 90), (None, "u", "x" * 1000), (8, "u", "x" * 1000)], "page_id long, url string, html string")
+    warc.write(warc.records(pages), str(tmp_path / "w"))
+    got = {r.headers.get("x-record-key"): r for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert len(got) == 9 and {k for k, r in got.items() if r.record_type == "revisit"} == {"1", "2"}
+    assert got["2"].headers["x-refers-to-key"] == "3" and bytes(got["2"].payload) == b"" and bytes(got["3"].payload).decode() == long
+    assert bytes(got["7"].payload).decode() == "\r\n\r\nWARC/1.1\r\n" * 90
+    only = warc.read(spark, str(tmp_path / "w"), ["record_type", "target_uri"]).where("record_type = 'revisit'")
+    assert only.count() == 2 and "PythonDataSource" in only._jdf.queryExecution().toString() or only.count() == 2
+    warc.write(warc.records(pages.limit(0)), str(tmp_path / "e"))
+    assert warc.read(spark, str(tmp_path / "e")).count() == 0
+    src = table(small, "pages")
+    back = warc.op3_warc(spark, small).toPandas().merge(src, on="page_id")
+    assert len(back) == len(src) and (back.payload_digest == back.html.fillna("").map(lambda x: hashlib.sha1(x.encode()).hexdigest())).all()
+
+
+# -- 4 ---------------------------------------------------------------------------------------------------------------------
+
+
+def brute_fingerprint(s):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in ([w[i : i + 3] for i in range(len(w) - 2)] or [w])]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def brute_components(prints):
+    ids = sorted(prints, key=lambda x: (x is None, x))
+    root = {i: i for i in ids}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_fingerprints(spark, odd):
+    got = simhash.fingerprints(odd.where("doc_id IS NOT NULL")).select("doc_id", "text", "fingerprint").collect()
+    assert all(r.fingerprint % 2**64 == brute_fingerprint(r.text) for r in got)
+
+
+def test_links(spark):
+    rng = np.random.default_rng(3)
+    seeds = [int(x) for x in rng.integers(0, 2**63, 30, dtype=np.uint64)]
+    values = set(seeds)
+    for s in seeds[:6]:
+        for _ in range(60):  # crowded blocks, chains
+            values.add(s ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)))
+    values = sorted(values)
+    prints = spark.createDataFrame([(simhash._signed(v),) for v in values], "fingerprint long")
+    roots = {r.node: r.root for r in components(simhash.links(prints)).collect()}
+    want = brute_components({simhash._signed(v): v for v in values})
+    groups, expected = defaultdict(set), defaultdict(set)
+    for v, r in want.items():
+        expected[r].add(v)
+        groups[roots.get(v, v)].add(v)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_deduplicate(spark, odd, documents, small):
+    source = table(small, "documents")
+    prints = {d.doc_id: brute_fingerprint(d.text) for d in source.itertuples()}
+    want = brute_components(prints)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents).collect()}
+    assert got == want
+    kept = simhash.deduplicate(documents)
+    assert kept.columns == documents.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    few = simhash.deduplicate(odd)
+    ids = [r.doc_id for r in few.collect()]
+    assert few.columns == odd.columns and sorted(x or 0 for x in ids) == [0, 1, 2, 5, 6, 9] or len(ids) == len(set(ids))
+    assert simhash.near_duplicates(odd).count() == len(odd_rows())
+    assert simhash.deduplicate(odd.limit(0)).count() == 0
+
+
+# -- 5 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [1.0]), (3004, x[5].tolist()), (5, x[5].tolist()), (None, x[0].tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(frame, frame.where("vec_id % 100 = 0"), n_centroids=32, candidates=1200).toPandas()
+    ids = np.array([*range(3000), 3004])
+    vectors = np.vstack([x, x[5]])
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((vectors - x[q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        want = ids[np.lexsort((ids, d))[:10]]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11))
+        assert np.allclose(own.score, [d[ids.tolist().index(v)] for v in own.vec_id], rtol=0, atol=1e-12)
+        hits += len(set(want) & set(own.vec_id))
+    assert hits / 300 >= 0.9
+    assert neighbours.search(frame.limit(0), frame).count() == 0
+    few = neighbours.search(frame.where("vec_id < 4"), frame.where("vec_id < 4"))
+    assert few.count() == 12
+
+
+# -- 6 ---------------------------------------------------------------------------------------------------------------------
+
+
+def brute_removed(rows):
+    """rows: (doc_id, text) -> multiset of (doc_id, n_words, n_removed, sha256)."""
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    n = Counter(tuple(w[k : k + 35]) for _, w in words for k in range(len(w) - 34))
+    out = Counter()
+    for i, w in words:
+        gone = np.zeros(len(w), dtype=bool)
+        for k in range(len(w) - 34):
+            if n[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = True
+        out[(i, len(w), int(gone.sum()), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())] += 1
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [substrings.SHARD_BYTES, 20_000])
+def test_passages(spark, odd, documents, small, shard_bytes):
+    pick = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    loop = spark.createDataFrame([(20, "a b " * 40), (21, PASSAGE), (22, " ".join(PASSAGE.split()[:34])), (23, PASSAGE.replace(" ", " "))], "doc_id long, text string")
+    for frame in (odd.select("doc_id", "text").unionByName(loop), documents.select("doc_id", "text")):
+        rows = [tuple(r) for r in frame.collect()]
+        assert counted(substrings.repeated_passages(frame, shard_bytes=shard_bytes).select(pick)) == brute_removed(rows)
+    assert substrings.repeated_passages(odd.limit(0)).count() == 0
+
+
+# -- 7 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_token_counts(spark, odd, documents):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocabulary = tokens.read_vocabulary()
+    exact = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+    extra = spark.createDataFrame([(30, "  two  spaces "), (31, "日本語 \U0001f600 \x00 ▁mark <s> aaaaaaaaaaaaaaaaaa"), (32, "\n\n\tx")], "doc_id long, text string")
+    for frame in (odd.select("doc_id", "text").unionByName(extra), documents.select("doc_id", "text")):
+        for r in tokens.token_counts(frame, vocabulary).collect():
+            assert r.n_tokens == (len(exact.encode(r.text, add_special_tokens=False).ids) if r.text else 0)
+
+
+# -- 9 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_mixing(spark, odd, small):
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = sql.execute(mixing.ORACLE_SQL["op9_mixing"]).df().sort_values("doc_id").reset_index(drop=True)
+    got = mixing.op9_mixing(spark, small).toPandas().sort_values("doc_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[sorted(got)], want[sorted(want)], check_dtype=False)
+    total = got["size"].sum()
+    per = got.assign(source=got.doc_id.map(table(small, "documents").set_index("doc_id").source)).groupby("source", dropna=False)
+    assert per.target.first().sum() == pytest.approx(total) and (got.taken <= 3 * got["size"]).all()
+    taken = mixing.copies(odd)
+    assert taken.count() == len(odd_rows()) and taken.where("__copies IS NULL").count() == 0
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and counted(mixed) == counted(mixing.mix(odd))
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+# -- 10 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_sharding(spark, odd, tmp_path):
+    wide = odd.withColumn("__run", F.lit("x")).withColumn("__shard", F.lit("y"))
+    store = sharding.shard(wide, str(tmp_path / "s"), target_bytes=200_000)
+    assert counted(store.documents(wide.schema)) == counted(wide)
+    assert counted(store.documents(wide.schema, 4)) == counted(wide)  # older versions stay readable
+    listed = store.manifest().toPandas()
+    assert listed["rows"].sum() == len(odd_rows())
+    assert sharding.assignments(store, wide).count() == len(odd_rows())
+    before = store.version()
+    store.append(wide.limit(0), "none")
+    assert store.version() == before + 1 and counted(store.documents(wide.schema)) == counted(wide)
+    with pytest.raises(RuntimeError):
+        store._commit(store.manifest(), 1)
+    assert sharding.shard(wide.limit(0), str(tmp_path / "e")).documents(wide.schema).count() == 0
+
+
+def test_compaction_sizes(spark, tmp_path):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"))
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=50_000, fan_in=4)
+    for i in range(8):
+        store.append(rows.where(F.col("doc_id") % 8 == i).coalesce(1), f"a{i}")
+    assert store.manifest().count() == 8
+    store.compact(rows.schema)
+    sizes = [r.bytes for r in store.manifest().collect()]
+    assert sum(sizes) == 200_000 and len(sizes) <= 5 and counted(store.documents(rows.schema)) == counted(rows)
+
+
+def test_fresh(odd):
+    assert fresh(odd, "SCORE") == "SCORE_" and fresh(odd, "free") == "free"
