@@ -15,10 +15,10 @@ from quarry.llm.common import stored, table
 #: Words of a window, and of a phrase. Every window has 28 phrases; the one of smallest hash is its anchor.
 WINDOW, PHRASE = 35, 8
 #: Bytes of text in one shard of documents, which one task holds together with its automaton.
-SHARD_BYTES = 32 << 20
-_CHUNK_WORDS = 400_000
+SHARD_BYTES = 8 << 20
+_CHUNK_WORDS = 100_000
 _BASE = 0x9E3779B97F4A7C15
-_MEMO = 1_000_000
+_MEMO = 200_000
 
 
 class _Hashes(dict):
