@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from quarry.llm.common import new_folder, table
+from quarry.llm.common import new_folder, stored, table
 
 #: Equal payloads of at least so many bytes are stored once; the others become revisit records.
 REVISIT_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Buckets of digests; a bound on what is broadcast (8 bytes each).
+BUCKETS = 1 << 20
 #: Records in one archive file, and bytes of archives that one read task takes.
 RECORDS_PER_FILE = 20_000
 BYTES_PER_PARTITION = 128 << 20
@@ -34,15 +36,22 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, key: str = "pa
     Of pages with equal payloads (equal SHA-256 and length) of at least ``revisit_bytes`` bytes the one with the largest
     key keeps it; refers_to is null there and that key elsewhere. Null payloads are empty ones. Copies are counted by
     digest with partial sums and met again by a join, so a payload that a third of the pages share is no group of rows.
+    Only pages whose digest falls into a bucket with a repeated digest take part in that join; the buckets are a table of
+    bounded size, so it is broadcast, and the other payloads are not shuffled.
     Rows that repeat the largest key are responses all of them; pages with a null key are responses.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(uri).cast("string"), F.lit("")).alias("uri"), body.alias("payload"))
     rows = rows.withColumn("same", F.when(F.octet_length("payload") >= revisit_bytes, F.sha2(F.col("payload").cast("binary"), 256)))
     kept = rows.where("same IS NOT NULL").groupBy("same").agg(F.max("key").alias("holder"), F.count("*").alias("n")).where("n > 1").select(F.col("same").alias("__same"), "holder")
-    joined = rows.join(kept, F.col("same") == F.col("__same"), "left")
+    kept = stored(kept, "warc-holders")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    buckets = F.broadcast(kept.select(bucket("__same").alias("__bucket")).distinct())  # BUCKETS rows at most
+    asked = F.coalesce(bucket("same"), F.lit(-1))
+    alone = rows.join(buckets, asked == F.col("__bucket"), "left_anti").withColumn("holder", F.lit(None).cast(kept.schema["holder"].dataType))
+    shared = rows.join(buckets, asked == F.col("__bucket"), "left_semi").join(kept, F.col("same") == F.col("__same"), "left").drop("__same")
     refers = F.when(F.col("key") != F.col("holder"), F.col("holder"))
-    return joined.select("key", "uri", "payload", F.sha1(F.col("payload").cast("binary")).alias("digest"), refers.alias("refers_to"))
+    return alone.unionByName(shared).select("key", "uri", "payload", F.sha1(F.col("payload").cast("binary")).alias("digest"), refers.alias("refers_to"))
 
 
 def _line(text: Column) -> Column:
