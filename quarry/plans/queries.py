@@ -394,6 +394,24 @@ def hits_k11(spark, d):
     return found.select("page", F.round("authority", 8).alias("authority"), F.round("hub", 8).alias("hub"))
 
 
+def _whole_base(e):
+    """R5 from every source of an edge with l_quantity >= 49: three rounds, 200 links each way, no page target."""
+    roots = e.where("l_quantity >= 49").select(F.col("src").alias("page"))
+    return graph.base_set(roots, e, rounds=3, per_page=200, target=2**63 - 1)
+
+
+@query()
+def base_set_whole(spark, d):
+    return _whole_base(edges(spark, d))
+
+
+@query()
+def hits_whole(spark, d):
+    e = edges(spark, d)
+    found = graph.hits(e, _whole_base(e))
+    return found.select("page", F.round("authority", 8).alias("authority"), F.round("hub", 8).alias("hub"))
+
+
 # -- pages and URLs --------------------------------------------------------------------------------------------------------
 
 _U = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
