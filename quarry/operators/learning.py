@@ -113,8 +113,10 @@ def bayes_labels(scores: DataFrame, key: str = "doc_id") -> DataFrame:
     return scores.groupBy(key).agg((-best).cast("int").alias("predicted"))
 
 
-def vectoriser(train: DataFrame, size: int = 1 << 18, tokens: str = "tokens") -> CountVectorizerModel:
-    """Counts of the train tokens' commonest ``size`` words; other rows are transformed with the same words."""
+def vectoriser(train: DataFrame, size: int | None = None, tokens: str = "tokens") -> CountVectorizerModel:
+    """Counts of all words of the train tokens, or of the commonest ``size``; other rows are transformed with the same words."""
+    if size is None:
+        size = max(train.select(F.explode(tokens)).distinct().count(), 1)
     return CountVectorizer(inputCol=tokens, outputCol="x", vocabSize=size).fit(train)
 
 

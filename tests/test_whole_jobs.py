@@ -4,9 +4,19 @@ from collections import Counter
 from hashlib import sha256
 from math import isclose, sqrt
 
+from pyspark.sql import functions as F
+
+from quarry.operators import learning
 from quarry.plans import queries
 
 
+def test_vectoriser_keeps_all_words(spark):
+    """More distinct words than 1 << 18, each in one mail only."""
+    train = spark.range(300).select(F.transform(F.sequence(F.lit(0), F.lit(899)), lambda i: F.concat_ws("x", F.col("id").cast("string"), i.cast("string"))).alias("tokens"))
+    assert len(learning.vectoriser(train).vocabulary) == 270_000
+    assert len(learning.vectoriser(train, 10).vocabulary) == 10
+
+
 def test_whole_base_and_hits(spark, tmp_path):
     """Roots of any id, three rounds, 200 links each way; page 5000 has 230 out-links, of which 200 are followed."""
     orders = [(5000, 300 + i, 50) for i in range(230)] + [(310, 9001, 1), (9001, 9002, 1), (9002, 9003, 1), (7, 8, 48)]
