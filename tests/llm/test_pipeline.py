@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarry.llm import mixing, toxicity
-from tests.llm.test_operators import brute_components, brute_fingerprint, odd_rows, SCHEMA
+from tests.llm.brute import SCHEMA, brute_kept, odd_rows
 
 
 def test_stage_order():
@@ -33,17 +33,13 @@ def test_odd_tables(spark, folder):
 
 
 def test_whole(spark, small):
-    """The result's doc_ids are the mix of what toxicity, near-duplicates and decontamination leave."""
+    """The result's doc_ids are the mix of what toxicity, near-duplicates (five words, Jaccard 0.8) and decontamination leave."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
     source = pd.read_parquet(f"{small}/documents.parquet").set_index("doc_id")
     bench = pd.read_parquet(f"{small}/benchmark.parquet").text.tolist()
     model = toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
     left = {i: t for i, t in source.text.items() if model.document(t) < 0.5}
-    roots = brute_components({i: brute_fingerprint(t) for i, t in left.items()})
-    left = {i: left[i] for i in set(roots.values())}
-    clean = {i for i, t in left.items() if not any(b in t for b in bench)}
-    got = corpus_pipeline.run(spark, small).groupBy("doc_id").agg(F.count("*").alias("n")).toPandas().set_index("doc_id").n
-    assert set(got.index) <= clean
-    rows = docs.where(F.col("doc_id").isin([int(x) for x in clean]))
-    want = mixing.copies(rows).select("doc_id", "__copies").toPandas().set_index("doc_id")["__copies"]
+    clean = [int(i) for i in brute_kept(left.items()) if not any(b in (left[i] or "") for b in bench)]
+    got = corpus_pipeline.run(spark, small).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    want = mixing.copies(docs.where(F.col("doc_id").isin(clean))).select("doc_id", "__copies").toPandas().set_index("doc_id")["__copies"]
     assert got.to_dict() == want[want > 0].to_dict()
