@@ -270,21 +270,63 @@ def test_mixing(spark, odd, small):
 
 
 def test_sharding(spark, odd, tmp_path):
-    wide = odd.withColumn("__run", F.lit("x")).withColumn("__shard", F.lit("y"))
-    store = sharding.shard(wide, str(tmp_path / "s"), target_bytes=200_000)
+    wide = odd.withColumn("__run", F.lit("x")).withColumn("__shard", F.lit("y")).withColumn("file", F.lit("z")).withColumn("bytes", F.lit(1))
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=2_000_000)
+    for i in range(4):
+        store.append(wide.where(F.coalesce("doc_id", F.lit(0)) % 4 == i), f"a{i}")
+    assert store.compact(wide.schema) > 4
     assert counted(store.documents(wide.schema)) == counted(wide)
     assert counted(store.documents(wide.schema, 4)) == counted(wide)  # older versions stay readable
-    listed = store.manifest().toPandas()
-    assert listed["rows"].sum() == len(odd_rows())
+    assert store.manifest().agg(F.sum("rows")).first()[0] == len(odd_rows())
     assert sharding.assignments(store, wide).count() == len(odd_rows())
     before = store.version()
     store.append(wide.limit(0), "none")
     assert store.version() == before + 1 and counted(store.documents(wide.schema)) == counted(wide)
-    with pytest.raises(RuntimeError):
-        store._commit(store.manifest(), 1)
+    store.vacuum()
+    assert store.versions() == [before + 1] and counted(store.documents(wide.schema)) == counted(wide)
     assert sharding.shard(wide.limit(0), str(tmp_path / "e")).documents(wide.schema).count() == 0
 
 
+def test_two_writers(spark, odd, tmp_path, monkeypatch):
+    """Both read version 1; the first to commit version 2 wins, the other gets an error and can append anew."""
+    one, two = (sharding.ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    one.append(odd, "first")
+    late, commit = odd.where("doc_id = 1"), sharding.ShardStore._commit
+
+    def overtaken(self, *args):
+        if self is two and self.version() == 1:
+            one.append(odd.where("doc_id = 2"), "quick")
+        commit(self, *args)
+
+    monkeypatch.setattr(sharding.ShardStore, "_commit", overtaken)
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.append(late, "late")
+    assert one.version() == 2 and one.documents(odd.schema).count() == len(odd_rows()) + 1
+    two.append(late, "late")
+    assert counted(one.documents(odd.schema)) == counted(odd.unionByName(odd.where("doc_id <= 2")))
+
+
+def test_lost_before_commit(spark, odd, tmp_path, monkeypatch):
+    store, commit = sharding.ShardStore(spark, str(tmp_path / "s")), sharding.ShardStore._commit
+    monkeypatch.setattr(sharding.ShardStore, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.append(odd, "a")
+    monkeypatch.setattr(sharding.ShardStore, "_commit", commit)
+    assert store.version() == 0 and store.append(odd, "a") == 1
+    assert counted(store.documents(odd.schema)) == counted(odd)
+    store.vacuum()
+    assert len(list((tmp_path / "s" / "data").iterdir())) == 1
+
+
+def test_shards_agree(spark, small, tmp_path):
+    """Two runs give the same shards; no shard is far over the target."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").repartitionByRange(9, "doc_id")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = [counted(sharding.assignments(sharding.shard(docs, target_bytes=150_000), docs)) for _ in range(2)]
+    assert got[0] == got[1] and len({r[0] for r in got[0]}) > 1
+
+
 def test_compaction_sizes(spark, tmp_path):
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"))
     store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=50_000, fan_in=4)
