@@ -15,29 +15,30 @@ from quarry.llm.common import stored, table
 
 K = 10
 #: Centroids of each half, and vectors that they are fitted on.
-CENTROIDS = 128
+CENTROIDS = 1024
 FIT_ROWS = 20_000
-#: A query walks centroid pairs until their lists hold so many vectors, and this share of all. Vectors without clusters
-#: in 64 dimensions need such a share for a recall of 0.9; clustered ones do with less.
-CANDIDATES, SHARE = 6_000, 0.35
+#: How far a query walks is measured: so many sampled vectors are searched by brute force, and the walk goes as far as it
+#: takes to meet this share of their neighbours.
+CALIBRATION, RECALL = 128, 0.94
 #: Vectors of a list, and queries, that meet in one task at most.
 LIST_ROWS, QUERY_ROWS = 4_096, 4_096
 
 
-def centroids(x: np.ndarray, k: int, rounds: int = 25, seed: int = 0) -> np.ndarray:
+def centroids(x: np.ndarray, k: int, rounds: int = 10, seed: int = 0) -> np.ndarray:
     """k-means with k-means++ starts; fewer centroids if there are fewer distinct vectors."""
     x = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     if len(x) <= k:
         return x
-    c = x[rng.integers(len(x))][None]
+    c = np.empty((k, x.shape[1]))
+    c[0] = x[rng.integers(len(x))]
     near = ((x - c[0]) ** 2).sum(axis=1)
-    while len(c) < k and near.sum() > 0:
-        c = np.vstack([c, x[rng.choice(len(x), p=near / near.sum())]])
-        near = np.minimum(near, ((x - c[-1]) ** 2).sum(axis=1))
+    for i in range(1, k):
+        c[i] = x[rng.choice(len(x), p=near / near.sum())]
+        near = np.minimum(near, ((x - c[i]) ** 2).sum(axis=1))
     for _ in range(rounds):
-        own = distances(x, c).argmin(axis=1)
-        n = np.bincount(own, minlength=len(c))
+        own = nearest_centroid(x, c)
+        n = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
@@ -49,40 +50,67 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x**2).sum(axis=1)[:, None] - 2 * x @ c.T + (c**2).sum(axis=1)[None]
 
 
+def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([distances(x[i : i + 4096], c).argmin(axis=1) for i in range(0, len(x), 4096)] or [np.empty(0, dtype=np.int64)])
+
+
 @dataclass
 class MultiIndex:
-    """Codebooks of the two halves and the sizes of the lists of their pairs (i * len(right) + j)."""
+    """Codebooks of the two halves, and the lists of their pairs that hold vectors.
+
+    ``cells`` are those pairs in order (left * number of right centroids + right), ``sizes`` the lengths of their lists.
+    """
 
     left: np.ndarray
     right: np.ndarray
+    cells: np.ndarray
     sizes: np.ndarray
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
+    def __post_init__(self):
+        self.lefts, self.rights = np.divmod(self.cells, len(self.right))
+        self.first = np.searchsorted(self.lefts, np.arange(len(self.left) + 1))
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
         h = self.left.shape[1]
-        return distances(x[:, :h], self.left).argmin(axis=1) * len(self.right) + distances(x[:, h:], self.right).argmin(axis=1)
+        return nearest_centroid(x[:, :h], self.left) * len(self.right) + nearest_centroid(x[:, h:], self.right)
 
-    def walk(self, query: np.ndarray, candidates: int) -> dict[int, list[int]]:
-        """Non-empty pairs by the sum of their halves' distances, until their lists hold ``candidates`` vectors.
+    def sums(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = self.left.shape[1]
+        return distances(query[None, :h], self.left)[0], distances(query[None, h:], self.right)[0]
 
-        Given as the right centroids for each left one.
+    def walk(self, query: np.ndarray, candidates: int) -> np.ndarray:
+        """Places in ``cells`` of the pairs by the sum of their halves' distances, until their lists hold ``candidates`` vectors.
 
-        The heap holds the frontier of the grid of the two sorted distance lists (multi-sequence search).
+        The heap holds the next pair of each left centroid; a left centroid's pairs are sorted when its first one comes.
         """
-        h = self.left.shape[1]
-        a, b = distances(query[None, :h], self.left)[0], distances(query[None, h:], self.right)[0]
-        i, j = a.argsort(kind="stable"), b.argsort(kind="stable")
-        heap, seen, out, n = [(a[i[0]] + b[j[0]], 0, 0)], {(0, 0)}, {}, 0
+        a, b = self.sums(query)
+        least = np.minimum.reduceat(b[self.rights], np.minimum(self.first[:-1], len(self.cells) - 1))
+        heap = [(a[i] + least[i], i, 0) for i in np.flatnonzero(np.diff(self.first)).tolist()]
+        heapq.heapify(heap)
+        rows, out, n = {}, [], 0
         while heap and n < candidates:
-            _, x, y = heapq.heappop(heap)
-            cell = int(i[x]) * len(self.right) + int(j[y])
-            if self.sizes[cell]:
-                out.setdefault(int(i[x]), []).append(int(j[y]))
-                n += int(self.sizes[cell])
-            for u, v in ((x + 1, y), (x, y + 1)):
-                if u < len(i) and v < len(j) and (u, v) not in seen:
-                    seen.add((u, v))
-                    heapq.heappush(heap, (a[i[u]] + b[j[v]], u, v))
-        return out
+            _, i, at = heap[0]
+            if i not in rows:
+                start, end = self.first[i], self.first[i + 1]
+                order = b[self.rights[start:end]].argsort(kind="stable")
+                rows[i] = (order + start).tolist(), (a[i] + b[self.rights[start:end]][order]).tolist()
+            places, sums = rows[i]
+            out.append(places[at])
+            n += int(self.sizes[places[at]])
+            if at + 1 < len(places):
+                heapq.heapreplace(heap, (sums[at + 1], i, at + 1))
+            else:
+                heapq.heappop(heap)
+        return np.array(out, dtype=np.int64)
+
+    def needed(self, query: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many vectors a walk has read when it has read each of the given pairs."""
+        a, b = self.sums(query)
+        sums = a[self.lefts] + b[self.rights]
+        order = sums.argsort(kind="stable")
+        read = np.empty(len(sums), dtype=np.int64)
+        read[order] = np.cumsum(self.sizes[order])
+        return read[np.searchsorted(self.cells, cells)]
 
 
 def usable(embeddings: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -100,15 +128,52 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return np.array(v.tolist(), dtype=np.float64)
 
 
-def search(embeddings: DataFrame, queries: DataFrame, k: int = K, n_centroids: int = CENTROIDS, candidates: int = CANDIDATES, share: float = SHARE, fit_rows: int = FIT_ROWS, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def one_vector(rows: DataFrame) -> DataFrame:
+    """(vec_id, v) with one row per id: of a repeated id the smallest vector. Only repeated ids are shuffled with their vectors."""
+    repeated = stored(rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "repeated-ids")
+    return rows.join(repeated, "vec_id", "left_anti").unionByName(rows.join(repeated, "vec_id").groupBy("vec_id").agg(F.min("v").alias("v")))
+
+
+def walk_length(entries: DataFrame, model: MultiIndex, k: int, calibration: int, recall: float) -> int:
+    """How many vectors a walk has to read so that ``calibration`` sampled vectors meet ``recall`` of their ``k`` nearest.
+
+    The sample's neighbours are found by brute force: each task keeps its best k of every sampled vector.
+    """
+    sample = entries.orderBy(F.xxhash64("v", F.lit("calibration"))).limit(calibration).select("v").toPandas()
+    q = _matrix(sample["v"])
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d, cells = np.full((len(q), k), np.inf), np.zeros((len(q), k), dtype=np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            x = _matrix(b["v"])
+            own = distances(q, x)
+            own[own < 1e-9] = np.inf  # the vector itself
+            all_, places = np.hstack([d, own]), np.hstack([cells, np.broadcast_to(b["cell"].to_numpy(), own.shape)])
+            at = np.argpartition(all_, k - 1, axis=1)[:, :k]
+            d, cells = np.take_along_axis(all_, at, axis=1), np.take_along_axis(places, at, axis=1)
+        row, col = np.nonzero(np.isfinite(d))
+        yield pd.DataFrame({"q": row.astype(np.int32), "d": d[row, col], "cell": cells[row, col]})
+
+    near = entries.select("v", "cell").mapInPandas(best, "q int, d double, cell long")
+    top = F.slice(F.array_sort(F.collect_list(F.struct("d", "cell"))), 1, k)
+    found = near.groupBy("q").agg(top.alias("near")).collect()  # a row per sampled vector
+    reads = [n for r in found for n in model.needed(q[r["q"]], np.array([x["cell"] for x in r["near"]], dtype=np.int64))]
+    return int(np.quantile(reads, recall, method="higher")) if reads else 1
+
+
+def search(embeddings: DataFrame, queries: DataFrame, k: int = K, n_centroids: int = CENTROIDS, recall: float = RECALL, fit_rows: int = FIT_ROWS, calibration: int = CALIBRATION, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every query, by Euclidean distance, ties to smaller ids.
 
     ``queries`` has rows like ``embeddings``; a row never finds its own id. Codebooks are fitted on at most ``fit_rows``
-    vectors of smallest id hash; every vector is indexed. Equal vectors stand in the index once, with as many of their
-    smallest ids as an answer can hold, so copies of one vector cost nothing. Lists and query batches longer than a
-    block are cut to blocks, whose pairs meet in different tasks; each gives its own best k, and those are merged.
-    Unusable vectors (see ``usable``) take no part; repeated rows of one id count once; fewer than k candidates: all.
-    The commonest vector length is searched, as vectors of unlike length have no distance.
+    vectors of smallest hash; every vector is indexed. How many vectors a query reads is measured (``walk_length``), so it
+    follows the data at every size. Equal vectors stand in the index once, with as many of their smallest ids as an answer
+    can hold, so copies of one vector cost nothing. Lists are packed by left centroid to blocks of at most ``LIST_ROWS``
+    vectors, queries to batches; a block and a batch meet in a task and give each query its best k, and those are merged.
+    Unusable vectors (see ``usable``) take no part; of an id with several vectors the smallest counts, as a candidate and as
+    a query; fewer than k candidates: all. The commonest vector length is searched, as vectors of unlike length have no
+    distance. Other columns are not returned.
     """
     rows = usable(embeddings, id_, vector)
     size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
@@ -116,61 +181,80 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = K, n_centroids: i
     out = "query_id long, rank int, vec_id long, score double"
     if size is None:
         return spark.createDataFrame([], out)
-    d, rows = size["d"], rows.where(F.size("v") == size["d"])
+    d = size["d"]
     zero = F.transform("v", lambda x: x + F.lit(0.0))  # -0.0 becomes 0.0
     if d == 1:  # a second half of zeros
         zero, d = F.concat(zero, F.array(F.lit(0.0))), 2
+    plain = lambda df: one_vector(df.where(F.size("v") == size["d"]).select("vec_id", zero.alias("v")))
     some = F.pmod(F.xxhash64("vec_id"), F.lit(256))
     ids = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
-    parts = rows.select("vec_id", zero.alias("v")).groupBy("v", some.alias("s")).agg(ids(F.collect_list("vec_id")).alias("ids"))
+    parts = plain(rows).groupBy("v", some.alias("s")).agg(ids(F.collect_list("vec_id")).alias("ids"))
     distinct = stored(parts.groupBy("v").agg(ids(F.flatten(F.collect_list("ids"))).alias("ids")), "vectors")
-    sample = distinct.orderBy(F.xxhash64(F.col("ids")[0])).limit(fit_rows).select("v").toPandas()
+    sample = distinct.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(fit_rows).select("v").toPandas()
     x = _matrix(sample["v"])
     left, right = centroids(x[:, : d // 2], n_centroids), centroids(x[:, d // 2 :], n_centroids)
-    model = MultiIndex(left, right, np.zeros(len(left) * len(right), dtype=np.int64))
-    cell_of = F.pandas_udf(lambda v: pd.Series(model.cells(_matrix(v)) if len(v) else []), "long")
+    book = MultiIndex(left, right, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
+    cell_of = F.pandas_udf(lambda v: pd.Series(book.cell(_matrix(v)) if len(v) else [], dtype="int64"), "long")
     entries = stored(distinct.withColumn("cell", cell_of("v")), "entries")
-    counted = entries.groupBy("cell").agg(F.count("*").alias("n")).toPandas()  # one row per pair of centroids at most
-    model.sizes[counted["cell"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
-    enough = max(candidates, int(np.ceil(share * model.sizes.sum())))
-    width = len(right)
-
-    @F.pandas_udf("array<struct<left: int, rights: array<int>>>")
+    counted = entries.groupBy("cell").agg(F.count("*").alias("n")).toPandas().sort_values("cell")  # one row per pair of centroids at most
+    model = MultiIndex(left, right, counted["cell"].to_numpy(dtype=np.int64), counted["n"].to_numpy(dtype=np.int64))
+    enough = walk_length(entries, model, k, calibration, recall)
+
+    held = np.bincount(model.lefts, weights=model.sizes, minlength=len(left)).astype(np.int64)
+    block = np.zeros(len(left), dtype=np.int64)  # neighbouring left centroids share a block until it is full
+    start, room = 0, 0
+    for i, n in enumerate(held.tolist()):
+        if n > room and room < LIST_ROWS:
+            start, room = i, LIST_ROWS
+        block[i], room = start, room - n
+    sent = spark.sparkContext.broadcast((model, block))
+
+    @F.pandas_udf("array<struct<block: int, cells: array<int>>>")
     def walk(v: pd.Series) -> pd.Series:
-        return pd.Series([[{"left": a, "rights": b} for a, b in model.walk(np.asarray(q, dtype=np.float64), enough).items()] for q in v])
-
-    asked = usable(queries, id_, vector).where(F.size("v") == size["d"]).select(F.col("vec_id").alias("query_id"), zero.alias("q")).dropDuplicates(["query_id"])
-    probes = stored(asked.withColumn("p", F.explode(walk("q"))).select("query_id", "q", F.col("p.left").alias("left"), F.col("p.rights").alias("rights")), "probes")
-    asks = {r["left"]: r["m"] for r in probes.groupBy("left").agg(F.count("*").alias("m")).collect()}  # one row per centroid at most
-    held = model.sizes.reshape(len(left), width).sum(axis=1)
-    plan = [(a, -(-int(held[a]) // LIST_ROWS), -(-m // QUERY_ROWS)) for a, m in asks.items()]
-    blocks = F.broadcast(spark.createDataFrame(plan or [(-1, 1, 1)], "left int, lists int, batches int"))  # one row per centroid at most
-    halves = entries.withColumn("left", F.floor(F.col("cell") / width).cast("int")).withColumn("right", (F.col("cell") % width).cast("int"))
-    lists = halves.join(blocks, "left").withColumn("list", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("lists")).cast("int"))
-    lists = lists.withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).select("left", "list", "batch", "right", "ids", "v")
-    batches = probes.join(blocks, "left").withColumn("batch", F.pmod(F.xxhash64("query_id"), F.col("batches")).cast("int"))
-    batches = batches.withColumn("list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).select("left", "list", "batch", "query_id", "q", "rights")
+        model, block = sent.value
+        out = []
+        for q in v:
+            at = model.walk(np.asarray(q, dtype=np.float64), enough)
+            by = block[model.lefts[at]]
+            order = by.argsort(kind="stable")
+            cut = np.flatnonzero(np.diff(by[order])) + 1
+            out.append([{"block": int(by[part[0]]), "cells": model.cells[at[part]].tolist()} for part in np.split(order, cut) if len(part)])
+        return pd.Series(out)
+
+    asked = plain(usable(queries, id_, vector)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    probes = stored(asked.withColumn("p", F.explode(walk("q"))).select("query_id", "q", "p.block", "p.cells"), "probes")
+    asks = {r["block"]: r["m"] for r in probes.groupBy("block").agg(F.count("*").alias("m")).collect()}  # one row per left centroid at most
+    full = np.bincount(block, weights=held, minlength=len(left)).astype(np.int64)
+    plan = [(a, -(-int(full[a]) // LIST_ROWS), -(-m // QUERY_ROWS)) for a, m in asks.items()]
+    dealt = F.broadcast(spark.createDataFrame(plan or [(-1, 1, 1)], "block int, lists int, batches int"))  # one row per left centroid at most
+    owner = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(block)], "left int, block int"))  # likewise
+    lists = entries.withColumn("left", F.floor(F.col("cell") / len(right)).cast("int")).join(owner, "left").join(dealt, "block").withColumn("list", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("lists")).cast("int"))
+    lists = lists.withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("batches") - 1))).select("block", "list", "batch", "cell", "ids", "v")
+    batches = probes.join(dealt, "block").withColumn("batch", F.pmod(F.xxhash64("query_id"), F.col("batches")).cast("int"))
+    batches = batches.withColumn("list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).select("block", "list", "batch", "query_id", "q", "cells")
 
     def rerank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return nearest(a, b, k, width)
+        return nearest(a, b, k)
 
-    by = ["left", "list", "batch"]
+    by = ["block", "list", "batch"]
     found = lists.groupBy(by).cogroup(batches.groupBy(by)).applyInPandas(rerank, "query_id long, vec_id long, score double")
     return _best(found, k)
 
 
-def nearest(entries: pd.DataFrame, queries: pd.DataFrame, k: int, width: int) -> pd.DataFrame:
-    """The best k ids for each query (query_id, q, rights) among the entries (right, ids, v) under its right centroids.
+def nearest(entries: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best k ids for each query (query_id, q, cells) among the entries (cell, ids, v) of its cells.
 
     Distances are exact, in double precision; ties go to smaller ids.
     """
     rows = []
     if len(entries) and len(queries):
-        x, q, ids, right = _matrix(entries["v"]), _matrix(queries["q"]), entries["ids"].tolist(), entries["right"].to_numpy()
-        for i, query, rights in zip(queries["query_id"].tolist(), q, queries["rights"]):
-            asked = np.zeros(width, dtype=bool)
-            asked[np.asarray(rights, dtype=np.int64)] = True
-            at = np.flatnonzero(asked[right])
+        x, q, ids = _matrix(entries["v"]), _matrix(queries["q"]), entries["ids"].tolist()
+        known, own = np.unique(entries["cell"].to_numpy(), return_inverse=True)
+        for i, query, cells in zip(queries["query_id"].tolist(), q, queries["cells"]):
+            place = np.minimum(np.searchsorted(known, cells), len(known) - 1)
+            asked = np.zeros(len(known), dtype=bool)
+            asked[place[known[place] == cells]] = True
+            at = np.flatnonzero(asked[own])
             if not len(at):
                 continue
             s = np.sqrt(((x[at] - query) ** 2).sum(axis=1))

@@ -182,27 +182,64 @@ def test_deduplicate(spark, odd, documents, small):
 # -- 5 ---------------------------------------------------------------------------------------------------------------------
 
 
+def exact_neighbours(ids, vectors, q, k=10):
+    """Ids and distances of the k nearest of one id, ties to smaller ids."""
+    d = np.sqrt(((vectors - vectors[ids == q][0]) ** 2).sum(axis=1))
+    d[ids == q] = np.inf
+    order = np.lexsort((ids, d))[:k]
+    return ids[order], d
+
+
 def test_neighbours(spark):
+    """Production parameters on more vectors than centroids, without clusters: recall and the share that is read."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 16))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [1.0]), (3004, x[5].tolist()), (5, x[5].tolist()), (None, x[0].tolist())]
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    read = []
+    walk_length = neighbours.walk_length
+    neighbours.walk_length = lambda *a: read.append(walk_length(*a)) or read[-1]
+    try:
+        got = neighbours.search(frame, frame.where("vec_id % 100 = 0")).toPandas()
+    finally:
+        neighbours.walk_length = walk_length
+    ids, hits = np.arange(8000), 0
+    for q in range(0, 8000, 100):
+        want, d = exact_neighbours(ids, x, q)
+        own = got[got.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11)) and own.vec_id.is_unique
+        assert np.allclose(own.score, d[own.vec_id], rtol=0, atol=1e-12)
+        hits += len(set(want) & set(own.vec_id))
+    assert hits / 800 >= 0.9 and read[0] < 0.25 * 8000
+
+
+def test_neighbours_odd_rows(spark, monkeypatch):
+    """Blocks and batches of a few rows; unusable vectors, copies of one vector, ids with several vectors, few candidates."""
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 64)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] * 16), (3003, [1.0]), (3004, x[5].tolist()), (5, x[5].tolist()), (None, x[0].tolist()), (7, x[8].tolist()), (100, x[9].tolist())]
+    x[7], x[100] = min(x[7].tolist(), x[8].tolist()), min(x[100].tolist(), x[9].tolist())
+    rows += [(4000 + i, x[20].tolist()) for i in range(30)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = neighbours.search(frame, frame.where("vec_id % 100 = 0"), n_centroids=32, candidates=1200).toPandas()
-    ids = np.array([*range(3000), 3004])
-    vectors = np.vstack([x, x[5]])
-    hits = 0
-    for q in range(0, 3000, 100):
-        d = np.sqrt(((vectors - x[q]) ** 2).sum(axis=1))
-        d[ids == q] = np.inf
-        want = ids[np.lexsort((ids, d))[:10]]
+    got = neighbours.search(frame, frame.where("vec_id % 20 = 0"), n_centroids=64).toPandas()
+    ids = np.array([*range(1500), 3004, *range(4000, 4030)])
+    vectors, hits = np.vstack([x, x[5], *[x[20]] * 30]), 0
+    asked = [int(i) for i in ids if i % 20 == 0]
+    assert set(got.query_id) == set(asked)
+    for q in asked:
+        want, d = exact_neighbours(ids, vectors, q)
         own = got[got.query_id == q].sort_values("rank")
-        assert own["rank"].tolist() == list(range(1, 11))
+        assert own["rank"].tolist() == list(range(1, 11)) and own.vec_id.is_unique
         assert np.allclose(own.score, [d[ids.tolist().index(v)] for v in own.vec_id], rtol=0, atol=1e-12)
         hits += len(set(want) & set(own.vec_id))
-    assert hits / 300 >= 0.9
+    assert hits / (10 * len(asked)) >= 0.9
     assert neighbours.search(frame.limit(0), frame).count() == 0
     few = neighbours.search(frame.where("vec_id < 4"), frame.where("vec_id < 4"))
     assert few.count() == 12
+    same = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [4.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in neighbours.search(same, same.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1.0), (2, 3.0)]
 
 
 # -- 6 ---------------------------------------------------------------------------------------------------------------------
