@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh, table
+from quarry.llm.common import fresh, stored, table
 
 _TOKEN = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 MIN_MATCH = 4
 COVERAGE = 0.5
-#: Test passages are taken in blocks of so many tokens; a block is all that a task holds of the test set.
+#: Test passages are taken in blocks of so many tokens, one after the other; a block is all that a task holds of the test set.
 BLOCK_TOKENS = 2_000_000
 
 
@@ -35,6 +35,33 @@ def _rolling(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def _runs(places: list[int], lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, last place, diagonal) of the runs of seeds on one diagonal.
+
+    ``lists`` holds the sorted document places of the seed at each passage place. One place's diagonals are held at a
+    time, so repeated words cost time but no memory for pairs.
+    """
+    out, none = [], np.empty(0, dtype=np.int64)
+    active, since, last = none, none, -2
+
+    def end(which):
+        out.append((since[which], np.full(int(which.sum()), last), active[which]))
+
+    for p, at in zip(places, lists):
+        d = at - p
+        if p != last + 1:
+            end(np.ones(len(active), dtype=bool))
+            active = since = none
+        spot = np.searchsorted(d, active)
+        going = d[np.minimum(spot, len(d) - 1)] == active
+        end(~going)
+        start = np.full(len(d), p)
+        start[spot[going]] = since[going]
+        active, since, last = d, start, p
+    end(np.ones(len(active), dtype=bool))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 class Passages:
     """One block of test passages, indexed by the hashes of their runs of ``min_match`` tokens."""
 
@@ -58,40 +85,35 @@ class Passages:
         order = np.argsort(h, kind="stable")
         self.hashes, self.owners, self.places = h[order], cat(owners, np.int64)[order], cat(places, np.int64)[order]
 
-    def tile(self, item: int, doc: np.ndarray, at_doc: np.ndarray, at_item: np.ndarray) -> list[tuple[int, int, int]]:
-        """Tiles (start in document, start in passage, length) of one pair, from its seed matches, longest first.
+    def tile(self, item: int, doc: np.ndarray, first: np.ndarray, last: np.ndarray, diagonal: np.ndarray) -> list[tuple[int, int, int]]:
+        """Tiles (start in document, start in passage, length) of one pair, from its runs of seeds, longest first.
 
-        Seeds on one diagonal merge to maximal matches. The longest match whose tokens are free is marked; one that is
-        partly marked is cut to its free runs of k tokens or more, which wait their turn. Ties: smaller place in the
-        passage, then in the document.
+        Runs are cut where a hash agreed and the tokens do not. The longest match whose tokens are free is marked; one
+        that is partly marked is cut to its free runs of k tokens or more, which wait their turn. Ties: smaller place in
+        the passage, then in the document. Done when the passage has no k free tokens.
         """
-        k, own = self.k, self.ids[item]
-        heap = []
-        diagonal = at_doc - at_item
-        order = np.lexsort((at_item, diagonal))
-        d, p = diagonal[order], at_item[order]
-        cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(p) != 1)) + 1
-        for first, last in zip(np.append(0, cut), np.append(cut, len(p)) - 1):
-            heap.append((-(int(p[last] - p[first]) + k), int(p[first]), int(p[first] + d[first])))
-        heapq.heapify(heap)
-        in_item, in_doc, tiles = np.zeros(len(own), dtype=bool), set(), []
-        while heap:
+        k, own, heap, tiles = self.k, self.ids[item], [], []
+
+        def push(i: int, j: int, good: np.ndarray) -> None:
+            turn = np.flatnonzero(np.diff(np.concatenate(([0], good.view(np.int8), [0]))))
+            for a, b in turn.reshape(-1, 2).tolist():
+                if b - a >= k:
+                    heapq.heappush(heap, (a - b, i + a, j + a))
+
+        for i, e, d in zip(first.tolist(), last.tolist(), diagonal.tolist()):
+            size = e - i + k
+            push(i, i + d, doc[i + d : i + d + size] == own[i : i + size])
+        free_item, free_doc, left = np.ones(len(own), dtype=bool), np.ones(len(doc), dtype=bool), len(own)
+        while heap and left >= k:
             size, i, j = heapq.heappop(heap)
             size = -size
-            free = [not in_item[i + x] and (j + x) not in in_doc for x in range(size)]
-            if all(free):
-                in_item[i : i + size] = True
-                in_doc.update(range(j, j + size))
+            free = free_item[i : i + size] & free_doc[j : j + size]
+            if free.all():
+                free_item[i : i + size] = free_doc[j : j + size] = False
+                left -= size
                 tiles.append((j, i, size))
-                continue
-            x = 0
-            while x < size:
-                y = x
-                while y < size and free[y]:
-                    y += 1
-                if y - x >= k:
-                    heapq.heappush(heap, (x - y, i + x, j + x))
-                x = max(y, x + 1)
+            else:
+                push(i, j, free)
         return tiles
 
     def matches(self, text: str | None, coverage: float = 0.0) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
@@ -103,30 +125,27 @@ class Passages:
         h = _rolling(doc, self.k)
         known = np.concatenate(([0], np.cumsum(doc == 0)))
         where = np.flatnonzero(known[self.k :] == known[: -self.k])
+        where = where[self.hashes[np.minimum(np.searchsorted(self.hashes, h[where]), len(self.hashes) - 1)] == h[where]]
         if not len(where):
             return
-        lo, hi = np.searchsorted(self.hashes, h[where], "left"), np.searchsorted(self.hashes, h[where], "right")
+        # each seed of the document once: its places there, and the passages' places that share it
+        seeds, which = np.unique(h[where], return_inverse=True)
+        at_doc = np.split(where[np.argsort(which, kind="stable")], np.cumsum(np.bincount(which))[:-1])
+        lo, hi = np.searchsorted(self.hashes, seeds, "left"), np.searchsorted(self.hashes, seeds, "right")
         n = hi - lo
-        if not n.sum():
-            return
-        at_doc = np.repeat(where, n)
-        seed = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        owner, place = self.owners[seed], self.places[seed]
-        order = np.argsort(owner, kind="stable")
-        owner, place, at_doc = owner[order], place[order], at_doc[order]
+        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        seed = np.repeat(np.arange(len(seeds)), n)
+        order = np.lexsort((self.places[entry], self.owners[entry]))
+        owner, place, seed = self.owners[entry][order], self.places[entry][order], seed[order]
         cut = np.flatnonzero(np.diff(owner)) + 1
-        for a, b in zip(np.append(0, cut), np.append(cut, len(owner))):
+        for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(owner)).tolist()):
             item = int(owner[a])
-            if len(np.unique(place[a:b])) * self.k < coverage * len(self.ids[item]):  # the tiles cannot cover more than that
+            if (b - a) * self.k < coverage * len(self.ids[item]):  # the tiles cannot cover more than that
                 continue
-            same = np.ones(b - a, dtype=bool)  # a hash is only a hint: the tokens decide
-            for x in range(self.k):
-                same &= doc[at_doc[a:b] + x] == self.ids[item][place[a:b] + x]
-            if same.any():
-                tiles = self.tile(item, doc, at_doc[a:b][same], place[a:b][same])
-                covered = sum(t[2] for t in tiles) / len(self.ids[item])
-                if covered >= coverage:
-                    yield self.items[item], covered, tiles
+            tiles = self.tile(item, doc, *_runs(place[a:b].tolist(), [at_doc[x] for x in seed[a:b].tolist()]))
+            covered = sum(t[2] for t in tiles) / len(self.ids[item])
+            if tiles and covered >= coverage:
+                yield self.items[item], covered, tiles
 
 
 def _blocks(benchmark: DataFrame, block_tokens: int) -> Iterator[list[tuple[int, str | None]]]:
@@ -147,7 +166,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, min_match: int = M
 
     A passage counts if tiles of ``min_match`` tokens or more, in any order, cover at least ``coverage`` of its tokens
     (tokens: lower-cased runs of letters, digits and underscores). Each document is matched where it lies: the test set
-    goes to the tasks in blocks of bounded size, so nothing is shuffled. Passages of fewer than ``min_match`` tokens,
+    goes to the tasks in blocks of bounded size, so nothing is shuffled. A second block starts when the first one's
+    result is stored, so several blocks need the memory of one and a pass each. Passages of fewer than ``min_match`` tokens,
     null passages and null or short documents match nothing; an empty test set marks nothing; repeated passages are
     reported each; a document that only quotes a few words of a passage stays below ``coverage``. Other columns are
     kept, and one called ``output`` is replaced.
@@ -167,9 +187,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, min_match: int = M
 
         return find
 
+    sent = None
     for block in _blocks(benchmark, block_tokens):
-        find = finder(documents.sparkSession.sparkContext.broadcast(block))
-        out = out.withColumn(output, F.array_sort(F.concat(output, find(F.col(text).cast("string")))))
+        if sent is not None:
+            out = stored(out, "contamination")
+            sent.unpersist()
+        sent = documents.sparkSession.sparkContext.broadcast(block)
+        out = out.withColumn(output, F.array_sort(F.concat(output, finder(sent)(F.col(text).cast("string")))))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -71,6 +72,37 @@ def test_tiling(seed):
     assert len(places) == len(set(places))
 
 
+def test_repeated_words():
+    """300,000 equal words against 400 of them, and runs of few words: memory in proportion, coverage as by brute force."""
+    same = decontamination.Passages([(1, "a " * 400), (2, "b a a a a c")], 4)
+    tracemalloc.start()
+    found = {i: (c, t) for i, c, t in same.matches("a " * 300_000, 0.5)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {1: (1.0, [(0, 0, 400)]), 2: (4 / 6, [(0, 1, 4)])} and peak < 500e6
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        doc, item = (" ".join(rng.choice(["a", "b"], n, p=[0.8, 0.2])) for n in (50, 24))
+        got = list(decontamination.Passages([(1, item)], 4).matches(doc))
+        assert (got[0][1] if got else 0) == pytest.approx(brute_coverage(doc, item, 4))
+
+
+def test_op1(spark, tmp_path):
+    """The whole query against brute force: reordered, repeated, partial and odd passages."""
+    rng = np.random.default_rng(7)
+    word = lambda n: [f"t{x}" for x in rng.integers(0, 40, n)]
+    items = [word(20) for _ in range(6)] + [["a"] * 9, ["x", "y"]]
+    docs = [" ".join([*word(8), *items[i % 8][10:], *word(5), *items[i % 8][:10], *word(8)]) for i in range(16)] + [" ".join([*word(9), *items[2][:9], *word(9)]), "a " * 30, None, "", " ".join(items[7])]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(99, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in decontamination.op1_decontamination(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, d in enumerate(docs):
+        want = {n: c for n, x in enumerate(items) if len(x) >= 4 and (c := brute_coverage(d, " ".join(x), 4)) >= 0.5}
+        assert got[i].item_ids == sorted(want) and got[i].contaminated == bool(want)
+        assert got[i].coverage == pytest.approx(max(want.values(), default=0))
+
+
 def test_contamination(spark, documents, small, odd):
     bench = table(small, "benchmark")
     got = {r.doc_id: set(r.ids) for r in decontamination.contamination(documents, spark.createDataFrame(bench)).select("doc_id", F.col("contamination.item_id").alias("ids")).collect()}
