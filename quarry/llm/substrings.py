@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, table
@@ -17,7 +17,7 @@ WINDOW, PHRASE = 35, 8
 #: Bytes of text in one shard of documents, which one task holds together with its automaton.
 SHARD_BYTES = 8 << 20
 _CHUNK_WORDS = 100_000
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MEMO = 200_000
 
 
@@ -35,12 +35,9 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _power(k: int) -> np.uint64:
-    return np.uint64(pow(_BASE, k, 1 << 64))
-
-
-def runs(h: np.ndarray, k: int) -> np.ndarray:
+def runs(h: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     """Hashes (mod 2^64) of all runs of k words, from the binary digits of k; order of words matters."""
+    _power = lambda i: np.uint64(pow(base, i, 1 << 64))
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
@@ -95,6 +92,30 @@ class Chunk:
         return at, phrases[at]
 
 
+def windows_of(h: np.ndarray) -> np.ndarray:
+    """128 bits for every window: two hashes of its words, of unlike base and mixing, as the columns of an array."""
+    return np.column_stack([runs(h, WINDOW), runs(_mixed(h), WINDOW, _BASE2)])
+
+
+def _distinct(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows in order, and how often each occurs."""
+    w = w[np.lexsort((w[:, 1], w[:, 0]))]
+    first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]).any(axis=1)))) if len(w) else np.empty(0, dtype=np.int64)
+    return w[first], np.diff(np.append(first, len(w)))
+
+
+def _among(w: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which windows are among the ``known`` ones (in order, distinct)."""
+    found = np.zeros(len(w), dtype=bool)
+    if len(known):
+        at = np.searchsorted(known[:, 0], w[:, 0])
+        for _ in range(int(np.diff(np.flatnonzero(np.concatenate(([True], known[1:, 0] != known[:-1, 0], [True])))).max())):  # 1, but for equal first hashes
+            at_ = np.minimum(at, len(known) - 1)
+            found |= (known[at_] == w).all(axis=1)
+            at = at + 1
+    return found
+
+
 def _chunks(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
     part, size = [], 0
     for t in texts:
@@ -155,11 +176,11 @@ def _candidates(docs: pa.Table, known: pa.Table) -> pa.Table:
         automaton.add_word(p)
     if phrases:
         automaton.make_automaton()
-    sizes, kept, digests, found = [], [], [], [np.empty(0, dtype=np.uint64)]
+    sizes, kept, digests, found = [], [], [], [np.empty((0, 2), dtype=np.uint64)]
     at = 0
     for words in _chunks(x.as_py() for x in texts):
         c = Chunk(words, memo)
-        hashes = runs(c.h, WINDOW)
+        hashes = windows_of(c.h)
         for d, own in enumerate(words):
             n, hits = len(own), []
             if phrases and n >= WINDOW:
@@ -175,7 +196,7 @@ def _candidates(docs: pa.Table, known: pa.Table) -> pa.Table:
             kept.append(texts[at] if len(hits) else None)
             digests.append(None if len(hits) else hashlib.sha256(b" ".join(own)).hexdigest())
             at += 1
-    windows, counts = np.unique(np.concatenate(found), return_counts=True)
+    windows, counts = _distinct(np.concatenate(found))
     shard = (docs if len(docs) else known).column("shard")[0].as_py()
     none = lambda kind: pa.nulls(1, kind)
     ids = docs.column("doc_id").combine_chunks() if len(docs) else pa.array([], pa.int64())
@@ -194,24 +215,25 @@ def _candidates(docs: pa.Table, known: pa.Table) -> pa.Table:
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for shard, windows, counts in zip(b.column("shard").to_pylist(), b.column("windows"), b.column("counts")):
-            w = np.frombuffer(windows.as_buffer(), dtype=np.int64)
+            w = np.frombuffer(windows.as_buffer(), dtype=np.int64).reshape(-1, 2)
             n = np.frombuffer(counts.as_buffer(), dtype=np.int8)
             for i in range(0, len(w), 100_000):
                 part = w[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), shard, dtype=np.int32)), pa.array(n[i : i + 100_000].astype(np.int32))], names=["w", "shard", "n"])
+                arrays = [pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(np.full(len(part), shard, dtype=np.int32)), pa.array(n[i : i + 100_000].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["w", "x", "shard", "n"])
 
 
 def _removed(docs: pa.Table, known: pa.Table) -> pa.Table:
     """One shard: the words covered by its recurring windows, as ranges, and what is left of each document."""
-    recurring = np.sort(known.column("w").to_numpy().view(np.uint64)) if len(known) else np.empty(0, dtype=np.uint64)
+    recurring = np.column_stack([known.column(c).to_numpy().view(np.uint64) for c in ("w", "x")]) if len(known) else np.empty((0, 2), dtype=np.uint64)
+    recurring, _ = _distinct(recurring)
     memo, removed, digests, spans = _Hashes(), [], [], []
     for words in _chunks(x.as_py() for x in docs.column("text")):
         c = Chunk(words, memo)
-        hashes = runs(c.h, WINDOW)
+        again = _among(windows_of(c.h), recurring)
         for d, own in enumerate(words):
             s, n = int(c.starts[d]), len(own)
-            h = hashes[s : s + max(0, n - WINDOW + 1)]
-            starts = np.flatnonzero(recurring[np.minimum(np.searchsorted(recurring, h), len(recurring) - 1)] == h) if len(recurring) and len(h) else np.empty(0, dtype=np.int64)
+            starts = np.flatnonzero(again[s : s + max(0, n - WINDOW + 1)])
             edge = np.zeros(n + 1, dtype=np.int64)
             edge[starts] += 1
             edge[starts + WINDOW] -= 1
@@ -228,7 +250,7 @@ def _removed(docs: pa.Table, known: pa.Table) -> pa.Table:
     })
 
 
-def repeated_passages(documents: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_passages(documents: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES, spread: Column | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, removed): one row per row of ``documents``.
 
     ``removed`` lists the word ranges covered by windows of 35 words whose sequence also starts elsewhere, the same
@@ -237,24 +259,35 @@ def repeated_passages(documents: DataFrame, text: str = "text", shard_bytes: int
     shard of documents then compiles an Aho-Corasick automaton of the recurring phrases that its documents hold, streams
     its documents through it, and offers the windows around all occurrences; those counted twice or more over all shards
     are repeated. So each document passes one automaton, however many shards there are, and only recurring phrases and
-    windows are shuffled. Windows are told apart by 64-bit hashes of their words' 64-bit hashes.
+    windows are shuffled. A window is known by 128 bits of its words' hashes (anchors by 64: they only propose).
+
+    Rows are dealt to shards by doc_id and ``spread``, an expression over ``documents`` that gives a row the same value
+    whenever it is read (by default the text, so that rows alike in both share a shard; a file's row index parts them).
+    Phrases and windows are counted with partial sums and joined back, so one that is in all shards is no window's group.
 
     Null and empty texts have no words and the digest of nothing; texts of fewer than 35 words lose none; whole texts of
     any length are read; repeated rows repeat each other's passages; null doc_ids are kept. Empty table: no rows.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    body = F.col(text).cast("string")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), (body if spread is None else spread).alias("spread"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = total // shard_bytes + 1
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
+    docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "spread"), F.lit(shards)).cast("int")).drop("spread")
+
+    def twice(rows: DataFrame, key: list[str]) -> DataFrame:
+        """(shard, key) of the keys that are counted twice or more; both uses of the rows share one shuffle."""
+        dealt = rows.repartition(*key)
+        often = dealt.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").select(*key)
+        return dealt.join(often, key, "left_semi").select("shard", *key)
+
     anchors = docs.select("shard", "text").mapInArrow(_anchor_rows, "h long, shard int").groupBy("h", "shard").agg(F.count("*").alias("n"))
-    twice = lambda key: F.sum("n").over(Window.partitionBy(key)) > 1
-    recurring = anchors.withColumn("twice", twice("h")).where("twice").select("shard", "h")
+    recurring = twice(anchors, ["h"])
     first = docs.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(
         _candidates, "shard int, doc_id long, n_words long, text string, kept_sha256 string, windows binary, counts binary"
     )
     first = stored(first, "passages")
-    windows = first.where("windows IS NOT NULL").select("shard", "windows", "counts").mapInArrow(_window_rows, "w long, shard int, n int")
-    repeated = windows.withColumn("twice", twice("w")).where("twice").select("shard", "w")
+    windows = first.where("windows IS NOT NULL").select("shard", "windows", "counts").mapInArrow(_window_rows, "w long, x long, shard int, n int")
+    repeated = twice(windows, ["w", "x"])
     held = first.where("text IS NOT NULL").select("shard", "doc_id", "n_words", "text")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: int, end: int>>"
     changed = held.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(_removed, out)
@@ -263,7 +296,8 @@ def repeated_passages(documents: DataFrame, text: str = "text", shard_bytes: int
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    row = F.col("_metadata.row_index")
+    return repeated_passages(table(spark, sf_dir, "documents"), spread=row).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {"op6_substrings": op6_substrings}

@@ -301,6 +301,26 @@ def test_passages(spark, odd, documents, small, shard_bytes):
     assert substrings.repeated_passages(odd.limit(0)).count() == 0
 
 
+def test_passage_everywhere(spark, tmp_path):
+    """One passage in a text of every shard, and one row many times over: op6 itself and its operator, by small shards."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([*(f"u{x}" for x in rng.integers(0, 9**9, 30)), *PASSAGE.split(), f"v{i}"])) for i in range(60)] + [(77, "again " + " ".join(f"r{x}" for x in range(50)))] * 40
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    pick = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    want = brute_removed(rows)
+    assert counted(substrings.op6_substrings(spark, str(tmp_path))) == want
+    assert counted(substrings.repeated_passages(docs, shard_bytes=700, spread=F.col("_metadata.row_index")).select(pick)) == want
+
+
+def test_windows_by_128_bits():
+    """Windows that agree in one of the two hashes only are told apart."""
+    known, count = substrings._distinct(np.array([[5, 1], [5, 1], [5, 3], [7, 1]], dtype=np.uint64))
+    assert known.tolist() == [[5, 1], [5, 3], [7, 1]] and count.tolist() == [2, 1, 1]
+    asked = np.array([[5, 1], [5, 2], [5, 3], [7, 1], [7, 3], [9, 1], [0, 0]], dtype=np.uint64)
+    assert substrings._among(asked, known).tolist() == [True, False, True, True, False, False, False]
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------------
 
 
