@@ -66,7 +66,8 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
     """(doc_id, text, label) of at most ``max_rows`` labelled documents outside the held-out fold.
 
     The rows taken are those of smallest hash of doc_id, whatever the order or layout of the tables. Labels
-    that are null or disagree for one doc_id are left out. The bound makes the broadcast safe.
+    that are null or disagree for one doc_id are left out; of a repeated doc_id the smallest text counts, so no more than
+    ``max_rows`` rows come back. The bound makes the broadcast safe.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -75,4 +76,5 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         .select("doc_id", F.col("__lo").cast("int").alias("label"))
     )
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, table, whole_rows
+from quarry.llm.common import WORD, stored, table, whole_rows
 
 #: Weights of the sources in code point order (null last), repeated as often as needed.
 WEIGHTS = (5, 2, 1)
@@ -47,52 +47,66 @@ def copies(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
     """``documents`` with ``__size``, ``__source_size``, ``__target`` and ``__copies``: how often the mix takes each row.
 
     Within a source the rows stand in a fixed order: by a logarithmic size class, so that the taken words come near the
-    target, then by a bucket from a hash of doc_id, size and doc_id. A row's place k of a source with r = target / size
-    expected copies a row covers (k r, (k+1) r]; it is taken once per integer boundary that u + this interval crosses.
-    The place is a prefix sum in three steps (classes of a source, buckets of a class, rows of a bucket), so no task
-    holds a source or a class. Null text: size 0. Null source: a source of its own, last. Sources without words: target 0,
-    no row taken. Repeated rows are rows of their own. Empty table: empty result. Other columns are kept.
+    target, then by a bucket from a hash of doc_id (or of the text where that is null), size, doc_id and a hash of the
+    text. A row's place k of a source with r = target / size expected copies a row covers (k r, (k+1) r]; it is taken
+    once per integer boundary that u + this interval crosses. The place is a prefix sum in three steps (classes of a
+    source, buckets of a class, rows of a bucket), so no task holds a source or a class. Null text: size 0. Null source: a
+    source of its own, last. Sources without words: target 0, no row taken. Repeated rows are rows of their own. Empty
+    table: empty result. Other columns are kept, whatever their names; ones of the four names are replaced.
     """
-    size = word_count(F.col(text).cast("string"))
-    bits = F.bin(size)
-    rows = documents.withColumns({"__size": size, "__class": F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)), "__bucket": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2)})
-    cells = rows.groupBy("source", "__class", "__bucket").agg(F.count("*").alias("__n"), F.sum("__size").alias("__words"))
-    classes = cells.groupBy("source", "__class").agg(F.sum("__n").alias("__n"), F.sum("__words").alias("__words"))
-    sizes = classes.groupBy("source").agg(F.sum("__words").alias("source_size"), F.sum("__n").alias("__rows"))
-    goal = targets(sizes.select("source", "source_size"), weights, max_copies)
+    placed = _copies(_measured(documents, F.col(text).cast("string"), whole_rows(documents).alias("row")), weights, max_copies, seed)
+    own = {"__size": "size", "__source_size": "source_size", "__target": "target", "__copies": "copies"}
+    kept = [F.col("row.`" + c.replace("`", "``") + "`") for c in documents.columns if c.lower() not in own]
+    return placed.select(*kept, *(F.col(c).alias(n) for n, c in own.items()))
+
+
+def _measured(documents: DataFrame, body: Column, *others: Column) -> DataFrame:
+    bucket = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), body, F.lit("")).cast("binary")), 1, 2)
+    return documents.select("doc_id", "source", word_count(body).alias("size"), F.xxhash64(body).alias("tie"), bucket.alias("bucket"), *others)
+
+
+def _copies(rows: DataFrame, weights: tuple[int, ...], max_copies: int, seed: int) -> DataFrame:
+    """``rows`` (source, doc_id, size, tie, bucket and others) with source_size, target and copies; see ``copies``."""
+    bits = F.bin("size")
+    rows = rows.withColumn("class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3)))
+    cells = stored(rows.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-cells")
+    classes = cells.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    sizes = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
+    goal = targets(sizes, weights, max_copies)
     before = lambda *by: Window.partitionBy("source", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    first_of_class = classes.select("source", "__class", F.coalesce(F.sum("__n").over(before("__class")), F.lit(0)).alias("__a"))
-    first_of_bucket = cells.select("source", "__class", "__bucket", F.coalesce(F.sum("__n").over(before("__class", "__bucket")), F.lit(0)).alias("__b"))
-    same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    starts = first_of_bucket.alias("x").join(first_of_class.alias("y"), (F.col("x.source").eqNullSafe(F.col("y.source"))) & (F.col("x.__class") == F.col("y.__class"))).select("x.source", "x.__class", "x.__bucket", (F.col("__a") + F.col("__b")).alias("__start"))
+    first_of_class = classes.select("source", "class", F.coalesce(F.sum("n").over(before("class")), F.lit(0)).alias("a"))
+    first_of_bucket = cells.select("source", "class", "bucket", F.coalesce(F.sum("n").over(before("class", "bucket")), F.lit(0)).alias("b"))
+    starts = first_of_bucket.alias("x").join(first_of_class.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.class") == F.col("y.class"))).select("x.source", "x.class", "x.bucket", (F.col("a") + F.col("b")).alias("start"))
     starts = starts.alias("x").join(goal.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source"))).select(
-        F.col("x.source").alias("__source"), F.col("__class").alias("__c"), F.col("__bucket").alias("__k"), "__start", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")
+        F.col("x.source").alias("source_"), F.col("class").alias("class_"), F.col("bucket").alias("bucket_"), "start", "source_size", "target"
     )
-    within = Window.partitionBy("source", "__class", "__bucket").orderBy("__size", "doc_id")
-    placed = rows.withColumn("__place", F.row_number().over(within) - 1)
-    joined = placed.join(starts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__class") == F.col("__c")) & (F.col("__bucket") == F.col("__k")))
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
-    place, u = F.col("__start") + F.col("__place"), offset(F.col("source"), seed)
+    within = Window.partitionBy("source", "class", "bucket").orderBy("size", "doc_id", "tie")
+    placed = rows.withColumn("place", F.row_number().over(within) - 1)
+    joined = placed.join(starts, F.col("source").eqNullSafe(F.col("source_")) & (F.col("class") == F.col("class_")) & (F.col("bucket") == F.col("bucket_")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    place, u = F.col("start") + F.col("place"), offset(F.col("source"), seed)
     crossed = F.floor((place + 1) * rate + u) - F.floor(place * rate + u)
-    return joined.withColumn("__copies", F.least(crossed, F.lit(max_copies)).cast("long")).drop("__class", "__bucket", "__place", "__source", "__c", "__k", "__start")
+    return joined.withColumn("copies", F.least(crossed, F.lit(max_copies)).cast("long"))
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 0) -> DataFrame:
     """The mix itself: every row of ``documents`` as many times as it is taken, with its columns as they were."""
-    rows = documents.select("doc_id", "source", "text", whole_rows(documents).alias("row"))
-    taken = copies(rows, weights, max_copies, seed).where("__copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy")).select("row.*")
+    rows = _measured(documents, F.col("text").cast("string"), whole_rows(documents).alias("row"))
+    taken = _copies(rows, weights, max_copies, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return taken.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    """The texts are read once: their sizes and hashes are stored, and the rest works on those."""
+    rows = _measured(table(spark, sf_dir, "documents"), F.col("text").cast("string"))
+    taken = _copies(stored(rows, "mix-sizes"), WEIGHTS, MAX_COPIES, 0)
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 ORACLE_SQL = {
     "op9_mixing": r"""
 WITH w AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
@@ -109,7 +123,7 @@ WITH w AS (
   FROM c
 ), o AS (
   SELECT w.*, t.source_size, t.target, t.u, row_number() OVER (
-    PARTITION BY w.source ORDER BY lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 3), substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2), size, doc_id NULLS FIRST) - 1 AS place
+    PARTITION BY w.source ORDER BY lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 3), substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 2), size, doc_id NULLS FIRST) - 1 AS place
   FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

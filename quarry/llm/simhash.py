@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, table, whole_rows
@@ -68,31 +68,28 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED,
     return documents.withColumn(output, make(F.col(text).cast("string")))
 
 
-def _bits(x: Column) -> Column:
-    return F.bit_count(x)
-
-
 def links(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
     """(a, b): links that connect all pairs of distinct fingerprints with at most two differing bits, and no others.
 
-    Every fingerprint goes under its ten keys of three blocks. A key with two fingerprints is a pair to verify. Under a
+    Every fingerprint goes under its ten keys of three blocks. A key with two fingerprints is a candidate pair. Under a
     key with more, pairs are not formed: two of its fingerprints are close exactly if they are equal after at most one
     of the free bits is flipped in each, so each goes under its flipped values, of which none can gather more than 65
-    fingerprints, and is linked to the smallest there. So crowded keys cost 28 rows a fingerprint, not pairs.
+    fingerprints, and is a candidate with the smallest there. So crowded keys cost 28 rows a fingerprint, not pairs. The
+    Hamming distance of every candidate is verified.
     """
     f = F.col("f")
     distinct = prints.select(F.col(column).alias("f")).where("f IS NOT NULL").distinct()
     keyed = distinct.select("f", F.posexplode(F.array(*[f.bitwiseAND(F.lit(_signed(k))) for k, _ in KEYS])).alias("k", "key"))
     shared = keyed.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("f").alias("a"), F.max("f").alias("b")).where("n > 1")
     shared = stored(shared, "simhash-keys")
-    pairs = shared.where((F.col("n") == 2) & (_bits(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b")
+    pairs = shared.where("n = 2").select("a", "b")
     crowded = shared.where("n > 2").select("k", "key")
     free = F.element_at(F.array(*[F.lit(_signed(m)) for _, m in KEYS]), F.col("k") + 1)
     members = keyed.join(crowded, ["k", "key"]).groupBy("f").agg(F.bit_or(free).alias("free"))
     flips = F.concat(F.array(f), F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.getbit(F.col("free"), i) == 1, f.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))), lambda x: x.isNotNull()))
     meeting = members.select("f", F.explode(flips).alias("value")).groupBy("value").agg(F.array_sort(F.collect_set("f")).alias("fs")).where(F.size("fs") > 1)
     stars = meeting.select(F.col("fs")[0].alias("a"), F.explode(F.slice("fs", 2, 65)).alias("b"))
-    return pairs.unionByName(stars)
+    return pairs.unionByName(stars).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text: str = "text") -> DataFrame:
@@ -120,7 +117,7 @@ def deduplicate(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED,
     """One row of each group of ``near_duplicates``, with its columns as they were: that of the smallest doc_id.
 
     Null ids come last, smaller text hashes first; of rows alike in id and text one stays. A row is known by its id and
-    the hash of its text. Rows alike are brought down to one before the shuffle, so no row that a third of the table
+    the hash of its text; columns of maps or variants, which have no order, do not decide which of such rows stays. Rows alike are brought down to one before the shuffle, so no row that a third of the table
     repeats lands in one task, and the texts are shuffled once. Empty table: no rows.
     """
     body = F.col(text).cast("string")

@@ -18,11 +18,15 @@ MEMO = 400_000
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
-    """(piece, score) of each entry of a SentencePiece file, in order of id; read on the driver."""
+    """(piece, score) of each piece of a SentencePiece file that text can match, in order of id; read on the driver.
+
+    The unknown, control, unused and byte pieces never match text (``<s>`` in a text is three characters) and are left out.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    special = lambda i: model.is_unknown(i) or model.is_control(i) or model.is_unused(i) or model.is_byte(i)
+    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not special(i)]
 
 
 class Counter:

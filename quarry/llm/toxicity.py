@@ -114,11 +114,12 @@ def fit(bags: list[list[list[int]]], plain: list[int], y: np.ndarray, n_words: i
     return b, w
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, max_words: int = 1_000, min_documents: int = 4) -> NoisyOr:
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, least_lean: float = 4.0) -> NoisyOr:
     """Fits on at most ``max_rows`` labelled documents outside the held-out fold.
 
-    Word counts by label are taken over all of those rows; the ``max_words`` words and prefixes that lean most to one label are the
-    features (a bound on the model, not on the texts). Without labels of both kinds the model calls nothing toxic.
+    Word counts by label are taken over all of those rows. Every word and prefix whose share of toxic documents is off that
+    of all documents by ``least_lean`` standard deviations (after a continuity correction of half a document) is a feature,
+    however many there are; the others are what chance gives. Without labels of both kinds the model calls nothing toxic.
     """
 
     @F.pandas_udf("array<array<string>>")
@@ -131,9 +132,9 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_row
         return NoisyOr()
     share = total.get(1, 0) / sum(total.values())
     seen = rows.select("label", F.explode(F.array_distinct(F.flatten("bag"))).alias("word"))
-    counts = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where(F.col("n") >= min_documents)
-    lean = (F.col("k") - share * F.col("n")) / F.sqrt(F.col("n") * share * (1 - share))
-    picked = [r["word"] for r in counts.orderBy(F.abs(lean).desc(), "word").limit(max_words).collect()]
+    counts = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
+    lean = (F.abs(F.col("k") - share * F.col("n")) - 0.5) / F.sqrt(F.col("n") * share * (1 - share))
+    picked = [r["word"] for r in counts.where(lean >= least_lean).orderBy("word").collect()]  # words of max_rows texts
     number = {w: i for i, w in enumerate(picked)}
     shared = rows.sparkSession.sparkContext.broadcast(number)
 
