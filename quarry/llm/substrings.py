@@ -301,3 +301,15 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_substrings": op6_substrings}
+ORACLE_SQL = {
+    "op6_substrings": r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+g AS (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35),
+h AS MATERIALIZED (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM g),
+o AS MATERIALIZED (SELECT r, i FROM h SEMI JOIN (SELECT h FROM h GROUP BY h HAVING count(*) > 1) USING (h)),
+x AS MATERIALIZED (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM o),
+w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
+k AS (SELECT r, count(*) AS kept, string_agg(word, ' ' ORDER BY j) AS s FROM w ANTI JOIN x USING (r, j) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+}

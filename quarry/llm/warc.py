@@ -260,3 +260,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_warc": op3_warc}
+ORACLE_SQL = {
+    "op3_warc": """
+SELECT page_id, strlen(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest,
+       CASE WHEN strlen(b) >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN strlen(b) >= 1000 AND page_id <> m THEN m END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS b, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)
+"""
+}

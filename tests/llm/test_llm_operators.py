@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In
 
-from quarry.llm import decontamination, mixing, neighbours, quality, sharding, simhash, substrings, tokens, toxicity, warc
+from quarry.llm import decontamination, mixing, neighbours, quality, registry, sharding, simhash, substrings, tokens, toxicity, warc
 from quarry.llm.common import fresh, held_out, labelled_rows
 from quarry.llm.components import components
 from tests.llm.brute import LONG, PASSAGE, SCHEMA, WORD, brute_components, brute_fingerprint, odd_rows
@@ -574,5 +574,15 @@ def test_compaction_sizes(spark, tmp_path):
     assert sum(sizes) == 200_000 and len(sizes) <= 5 and counted(store.documents(rows.schema)) == counted(rows)
 
 
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_sql(spark, small, name):
+    sql = duckdb.connect()
+    for t in ("documents", "pages"):
+        sql.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    want = sql.execute(registry.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert counted(registry.QUERIES[name](spark, small).select(columns)) == Counter(want.fetchall())
+
+
 def test_fresh(odd):
     assert fresh(odd, "SCORE") == "SCORE_" and fresh(odd, "free") == "free"
