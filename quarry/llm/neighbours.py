@@ -19,7 +19,7 @@ CENTROIDS = 1024
 FIT_ROWS = 20_000
 #: How far a query walks is measured: so many sampled vectors are searched by brute force, and the walk goes as far as it
 #: takes to meet this share of their neighbours.
-CALIBRATION, RECALL = 128, 0.94
+CALIBRATION, RECALL = 256, 0.96
 #: Vectors of a list, and queries, that meet in one task at most.
 LIST_ROWS, QUERY_ROWS = 4_096, 4_096
 
