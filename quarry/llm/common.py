@@ -77,4 +77,5 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, max_rows:
         .select("doc_id", F.col("__lo").cast("int").alias("label"))
     )
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    # a few hundred texts a task, whatever the adaptive plan would merge: models hold the features of a batch
+    return texts.repartition(max(1, max_rows // 256), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

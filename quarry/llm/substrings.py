@@ -135,9 +135,33 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _chunks(x.as_py() for x in b.column("text")):
             c = Chunk(words, memo)
             places, hashes = c.anchors()
-            own = shards[at : at + len(words)]
+            own = shards[at : at + len(words)][c.doc[places]]
             at += len(words)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(own[c.doc[places]])], names=["h", "shard"])
+            if len(hashes):
+                order = np.lexsort((own, hashes))
+                h, own = hashes[order], own[order]
+                first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1]))))
+                n = np.diff(np.append(first, len(h))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(own[first]), pa.array(n)], names=["h", "shard", "n"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those that count twice or more or have a neighbour of their key; one row is held back."""
+    held = None  # the last row: key, shard, and whether it is known to be repeated
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys, shard, again = [b.column(k).to_numpy() for k in key], b.column("shard").to_numpy(), b.column("n").to_numpy() > 1
+        if held is not None:
+            keys = [np.concatenate(([k], x)) for k, x in zip(held[0], keys)]
+            shard, again = np.concatenate(([held[1]], shard)), np.concatenate(([held[2]], again))
+        same = np.logical_and.reduce([x[1:] == x[:-1] for x in keys])
+        again = again | np.concatenate((same, [False])) | np.concatenate(([False], same))
+        held = [x[-1] for x in keys], shard[-1], again[-1]
+        at = np.flatnonzero(again[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), *(pa.array(x[at]) for x in keys)], names=["shard", *key])
+    if held is not None and held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int32()), *(pa.array([k], pa.int64()) for k in held[0])], names=["shard", *key])
 
 
 def _phrase(words: list[bytes], at: int) -> str:
@@ -263,7 +287,8 @@ def repeated_passages(documents: DataFrame, text: str = "text", shard_bytes: int
 
     Rows are dealt to shards by doc_id and ``spread``, an expression over ``documents`` that gives a row the same value
     whenever it is read (by default the text, so that rows alike in both share a shard; a file's row index parts them).
-    Phrases and windows are counted with partial sums and joined back, so one that is in all shards is no window's group.
+    Phrases and windows are counted within a shard, then sorted by key, and rows next to one of their key are kept in
+    passing, so a phrase that is in all shards is held by no task as a group.
 
     Null and empty texts have no words and the digest of nothing; texts of fewer than 35 words lose none; whole texts of
     any length are read; repeated rows repeat each other's passages; null doc_ids are kept. Empty table: no rows.
@@ -275,13 +300,11 @@ def repeated_passages(documents: DataFrame, text: str = "text", shard_bytes: int
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "spread"), F.lit(shards)).cast("int")).drop("spread")
 
     def twice(rows: DataFrame, key: list[str]) -> DataFrame:
-        """(shard, key) of the keys that are counted twice or more; both uses of the rows share one shuffle."""
-        dealt = rows.repartition(*key)
-        often = dealt.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").select(*key)
-        return dealt.join(often, key, "left_semi").select("shard", *key)
+        """(shard, key) of the rows whose key is counted twice or more."""
+        kinds = "shard int, " + ", ".join(f"{k} long" for k in key)
+        return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: _repeated(batches, key), kinds)
 
-    anchors = docs.select("shard", "text").mapInArrow(_anchor_rows, "h long, shard int").groupBy("h", "shard").agg(F.count("*").alias("n"))
-    recurring = twice(anchors, ["h"])
+    recurring = twice(docs.select("shard", "text").mapInArrow(_anchor_rows, "h long, shard int, n int"), ["h"])
     first = docs.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(
         _candidates, "shard int, doc_id long, n_words long, text string, kept_sha256 string, windows binary, counts binary"
     )
