@@ -83,35 +83,46 @@ class Chunk:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes) of the phrases that are the anchor of a window."""
         if not self.inside.any():
+            self.least = np.empty(0, dtype=np.uint64)
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
         phrases, width = _mixed(runs(self.h, PHRASE)), WINDOW - PHRASE + 1
-        least = np.where(self.inside, _sliding(phrases, width, np.minimum), np.uint64(0))
+        self.least = np.where(self.inside, _sliding(phrases, width, np.minimum), np.uint64(0))
         edge = np.zeros(width - 1, dtype=np.uint64)
-        most = _sliding(np.concatenate((edge, least, edge)), width, np.maximum)
+        most = _sliding(np.concatenate((edge, self.least, edge)), width, np.maximum)
         at = np.flatnonzero((most == phrases) & (most > 0))
         return at, phrases[at]
 
+    def anchored(self, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Which windows have one of these phrases, given by their places, as their anchor (after ``anchors``)."""
+        some = np.full(max(len(self.h) - PHRASE + 1, 0), np.iinfo(np.uint64).max, dtype=np.uint64)
+        some[places] = hashes
+        return _sliding(some, WINDOW - PHRASE + 1, np.minimum) == self.least if len(self.least) else np.empty(0, dtype=bool)
 
-def windows_of(h: np.ndarray) -> np.ndarray:
-    """128 bits for every window: two hashes of its words, of unlike base and mixing, as the columns of an array."""
-    return np.column_stack([runs(h, WINDOW), runs(_mixed(h), WINDOW, _BASE2)])
 
+Windows = tuple[np.ndarray, np.ndarray]
 
-def _distinct(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def windows_of(h: np.ndarray) -> Windows:
+    """96 bits for every window: two hashes of its words, of unlike base and mixing, 64 and the high 32 bits of the second."""
+    return runs(h, WINDOW), (runs(_mixed(h), WINDOW, _BASE2) >> np.uint64(32)).astype(np.uint32)
+
+
+def _distinct(w: np.ndarray, x: np.ndarray) -> tuple[Windows, np.ndarray]:
     """Distinct windows in order, and how often each occurs."""
-    w = w[np.lexsort((w[:, 1], w[:, 0]))]
-    first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]).any(axis=1)))) if len(w) else np.empty(0, dtype=np.int64)
-    return w[first], np.diff(np.append(first, len(w)))
+    order = np.lexsort((x, w))
+    w, x = w[order], x[order]
+    first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (x[1:] != x[:-1])))) if len(w) else np.empty(0, dtype=np.int64)
+    return (w[first], x[first]), np.diff(np.append(first, len(w)))
 
 
-def _among(w: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _among(w: np.ndarray, x: np.ndarray, known: Windows) -> np.ndarray:
     """Which windows are among the ``known`` ones (in order, distinct)."""
-    found = np.zeros(len(w), dtype=bool)
-    if len(known):
-        at = np.searchsorted(known[:, 0], w[:, 0])
-        for _ in range(int(np.diff(np.flatnonzero(np.concatenate(([True], known[1:, 0] != known[:-1, 0], [True])))).max())):  # 1, but for equal first hashes
-            at_ = np.minimum(at, len(known) - 1)
-            found |= (known[at_] == w).all(axis=1)
+    found, (kw, kx) = np.zeros(len(w), dtype=bool), known
+    if len(kw):
+        at = np.searchsorted(kw, w)
+        for _ in range(int(np.diff(np.flatnonzero(np.concatenate(([True], kw[1:] != kw[:-1], [True])))).max())):  # 1, but for equal first hashes
+            at_ = np.minimum(at, len(kw) - 1)
+            found |= (kw[at_] == w) & (kx[at_] == x)
             at = at + 1
     return found
 
@@ -141,17 +152,18 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.lexsort((own, hashes))
                 h, own = hashes[order], own[order]
                 first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1]))))
-                n = np.diff(np.append(first, len(h))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(own[first]), pa.array(n)], names=["h", "shard", "n"])
+                own = np.where(np.diff(np.append(first, len(h))) > 1, -1 - own[first], own[first]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(own)], names=["h", "shard"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those that count twice or more or have a neighbour of their key; one row is held back."""
+    """Of rows sorted by key, those marked as several (by a negative shard) or next to one of their key; one row is held back."""
     held = None  # the last row: key, shard, and whether it is known to be repeated
     for b in batches:
         if not b.num_rows:
             continue
-        keys, shard, again = [b.column(k).to_numpy() for k in key], b.column("shard").to_numpy(), b.column("n").to_numpy() > 1
+        keys, shard = [b.column(k).to_numpy() for k in key], b.column("shard").to_numpy()
+        shard, again = np.where(shard < 0, -1 - shard, shard), shard < 0
         if held is not None:
             keys = [np.concatenate(([k], x)) for k, x in zip(held[0], keys)]
             shard, again = np.concatenate(([held[1]], shard)), np.concatenate(([held[2]], again))
@@ -161,7 +173,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.
         at = np.flatnonzero(again[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), *(pa.array(x[at]) for x in keys)], names=["shard", *key])
     if held is not None and held[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int32()), *(pa.array([k], pa.int64()) for k in held[0])], names=["shard", *key])
+        yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int32()), *(pa.array(np.array([k])) for k in held[0])], names=["shard", *key])
 
 
 def _phrase(words: list[bytes], at: int) -> str:
@@ -174,53 +186,53 @@ def _hits(automaton, words: list[bytes]) -> np.ndarray:
     ends = np.fromiter((e for e, _ in automaton.iter(text)), dtype=np.int64)
     if not len(ends):
         return ends
-    stops = np.cumsum([len(w.decode("utf-8", "surrogatepass")) + 1 for w in words])
+    sizes = map(len, words) if text.isascii() else (len(w.decode("utf-8", "surrogatepass")) for w in words)
+    stops = np.cumsum(np.fromiter(sizes, dtype=np.int64, count=len(words)) + 1)
     return np.searchsorted(stops, ends) - PHRASE + 1
 
 
 def _candidates(docs: pa.Table, known: pa.Table) -> pa.Table:
-    """One shard: an automaton of its recurring phrases, and the windows around every occurrence of one.
+    """One shard: an automaton of its recurring phrases, and the windows around every occurrence of one that is their anchor.
 
     Gives a row per document (with its text if it has such windows, else with its digest) and one with the windows' hashes.
     """
     import ahocorasick
 
-    recurring = np.sort(known.column("h").to_numpy()).view(np.uint64) if len(known) else np.empty(0, dtype=np.uint64)
-    recurring = np.sort(recurring)
-    texts = docs.column("text")
-    memo, phrases = _Hashes(), set()
-    for words in _chunks(x.as_py() for x in texts) if len(recurring) else ():
-        c = Chunk(words, memo)
-        places, hashes = c.anchors()
-        for p in places[recurring[np.minimum(np.searchsorted(recurring, hashes), len(recurring) - 1)] == hashes]:
-            d = int(c.doc[p])
-            phrases.add(_phrase(words[d], int(p - c.starts[d])))
+    recurring = np.sort(known.column("h").to_numpy().view(np.uint64)) if len(known) else np.empty(0, dtype=np.uint64)
+    memo, phrases, chunks = _Hashes(), set(), []
+    for words in _chunks(x.as_py() for x in docs.column("text")):
+        c, may = Chunk(words, memo), None
+        if len(recurring):
+            places, hashes = c.anchors()
+            again = recurring[np.minimum(np.searchsorted(recurring, hashes), len(recurring) - 1)] == hashes
+            for p in places[again]:
+                d = int(c.doc[p])
+                phrases.add(_phrase(words[d], int(p - c.starts[d])))
+            may = c.anchored(places[again], hashes[again])
+        chunks.append((words, c, may))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in phrases:
         automaton.add_word(p)
     if phrases:
         automaton.make_automaton()
-    sizes, kept, digests, found = [], [], [], [np.empty((0, 2), dtype=np.uint64)]
-    at = 0
-    for words in _chunks(x.as_py() for x in texts):
-        c = Chunk(words, memo)
-        hashes = windows_of(c.h)
+    sizes, whole, digests, found = [], [], [], [(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint32))]
+    for words, c, may in chunks:
+        w, x = windows_of(c.h) if phrases else (None, None)
         for d, own in enumerate(words):
-            n, hits = len(own), []
-            if phrases and n >= WINDOW:
+            n, s, some = len(own), int(c.starts[d]), False
+            if phrases and n >= WINDOW and may[s : s + n - WINDOW + 1].any():
                 hits = _hits(automaton, own)
-            if len(hits):
-                edge = np.zeros(n - WINDOW + 2, dtype=np.int64)
-                last = n - WINDOW
+                edge, last = np.zeros(n - WINDOW + 2, dtype=np.int64), n - WINDOW
                 np.add.at(edge, np.clip(hits - (WINDOW - PHRASE), 0, last + 1), 1)
                 np.add.at(edge, np.minimum(hits, last) + 1, -1)
-                s = int(c.starts[d])
-                found.append(hashes[s : s + last + 1][np.cumsum(edge)[:-1] > 0])
+                at = s + np.flatnonzero((np.cumsum(edge)[:-1] > 0) & may[s : s + last + 1])
+                some = len(at) > 0
+                found.append((w[at], x[at]))
             sizes.append(n)
-            kept.append(texts[at] if len(hits) else None)
-            digests.append(None if len(hits) else hashlib.sha256(b" ".join(own)).hexdigest())
-            at += 1
-    windows, counts = _distinct(np.concatenate(found))
+            whole.append(some)
+            digests.append(None if some else hashlib.sha256(b" ".join(own)).hexdigest())
+    del chunks
+    (w, x), counts = _distinct(*(np.concatenate(part) for part in zip(*found)))
     shard = (docs if len(docs) else known).column("shard")[0].as_py()
     none = lambda kind: pa.nulls(1, kind)
     ids = docs.column("doc_id").combine_chunks() if len(docs) else pa.array([], pa.int64())
@@ -229,32 +241,31 @@ def _candidates(docs: pa.Table, known: pa.Table) -> pa.Table:
         "shard": pa.array([shard] * (rows + 1), pa.int32()),
         "doc_id": pa.concat_arrays([ids, none(pa.int64())]),
         "n_words": pa.array([*sizes, None], pa.int64()),
-        "text": pa.array([None if x is None else x.as_py() for x in kept] + [None], pa.string()),
+        "text": pa.array([t.as_py() if s else None for t, s in zip(docs.column("text"), whole)] + [None], pa.string()),
         "kept_sha256": pa.array([*digests, None], pa.string()),
-        "windows": pa.array([None] * rows + [windows.tobytes()], pa.binary()),
-        "counts": pa.array([None] * rows + [np.minimum(counts, 2).astype(np.int8).tobytes()], pa.binary()),
+        "windows": pa.array([None] * rows + [w.tobytes()], pa.binary()),
+        "checks": pa.array([None] * rows + [x.tobytes()], pa.binary()),
+        "counts": pa.array([None] * rows + [(counts > 1).tobytes()], pa.binary()),
     })
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a window; ``shard`` is given as -1 - shard if the shard holds the window more than once."""
     for b in batches:
-        for shard, windows, counts in zip(b.column("shard").to_pylist(), b.column("windows"), b.column("counts")):
-            w = np.frombuffer(windows.as_buffer(), dtype=np.int64).reshape(-1, 2)
-            n = np.frombuffer(counts.as_buffer(), dtype=np.int8)
+        for shard, *columns in zip(b.column("shard").to_pylist(), b.column("windows"), b.column("checks"), b.column("counts")):
+            w, x, many = (np.frombuffer(c.as_buffer(), dtype=t) for c, t in zip(columns, (np.int64, np.int32, bool)))
+            own = np.where(many, -1 - shard, shard).astype(np.int32)
             for i in range(0, len(w), 100_000):
-                part = w[i : i + 100_000]
-                arrays = [pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(np.full(len(part), shard, dtype=np.int32)), pa.array(n[i : i + 100_000].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["w", "x", "shard", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]) for a in (w, x, own)], names=["w", "x", "shard"])
 
 
 def _removed(docs: pa.Table, known: pa.Table) -> pa.Table:
     """One shard: the words covered by its recurring windows, as ranges, and what is left of each document."""
-    recurring = np.column_stack([known.column(c).to_numpy().view(np.uint64) for c in ("w", "x")]) if len(known) else np.empty((0, 2), dtype=np.uint64)
-    recurring, _ = _distinct(recurring)
+    recurring, _ = _distinct(known.column("w").to_numpy().view(np.uint64), known.column("x").to_numpy().view(np.uint32)) if len(known) else ((np.empty(0, dtype=np.uint64),) * 2, None)
     memo, removed, digests, spans = _Hashes(), [], [], []
     for words in _chunks(x.as_py() for x in docs.column("text")):
         c = Chunk(words, memo)
-        again = _among(windows_of(c.h), recurring)
+        again = _among(*windows_of(c.h), recurring)
         for d, own in enumerate(words):
             s, n = int(c.starts[d]), len(own)
             starts = np.flatnonzero(again[s : s + max(0, n - WINDOW + 1)])
@@ -281,9 +292,10 @@ def repeated_passages(documents: DataFrame, text: str = "text", shard_bytes: int
     document included. Every window has an anchor, the phrase of 8 words with the smallest hash in it; equal windows
     have equal anchors, so only windows whose anchor recurs can repeat. Anchors are counted over all documents. Each
     shard of documents then compiles an Aho-Corasick automaton of the recurring phrases that its documents hold, streams
-    its documents through it, and offers the windows around all occurrences; those counted twice or more over all shards
-    are repeated. So each document passes one automaton, however many shards there are, and only recurring phrases and
-    windows are shuffled. A window is known by 128 bits of its words' hashes (anchors by 64: they only propose).
+    its documents through it, and offers the windows around all occurrences that are their anchors; those counted twice or
+    more over all shards are repeated. So each document passes one automaton, however many shards there are, and only recurring phrases and
+    windows are shuffled. A window is known by 96 bits of its words' hashes, which
+    tell 10^14 windows apart (expected collisions: 0.06; anchors have 64 bits, as they only propose).
 
     Rows are dealt to shards by doc_id and ``spread``, an expression over ``documents`` that gives a row the same value
     whenever it is read (by default the text, so that rows alike in both share a shard; a file's row index parts them).
@@ -301,15 +313,15 @@ def repeated_passages(documents: DataFrame, text: str = "text", shard_bytes: int
 
     def twice(rows: DataFrame, key: list[str]) -> DataFrame:
         """(shard, key) of the rows whose key is counted twice or more."""
-        kinds = "shard int, " + ", ".join(f"{k} long" for k in key)
+        kinds = "shard int, " + ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key)
         return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(lambda batches: _repeated(batches, key), kinds)
 
-    recurring = twice(docs.select("shard", "text").mapInArrow(_anchor_rows, "h long, shard int, n int"), ["h"])
+    recurring = twice(docs.select("shard", "text").mapInArrow(_anchor_rows, "h long, shard int"), ["h"])
     first = docs.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(
-        _candidates, "shard int, doc_id long, n_words long, text string, kept_sha256 string, windows binary, counts binary"
+        _candidates, "shard int, doc_id long, n_words long, text string, kept_sha256 string, windows binary, checks binary, counts binary"
     )
-    first = stored(first, "passages")
-    windows = first.where("windows IS NOT NULL").select("shard", "windows", "counts").mapInArrow(_window_rows, "w long, x long, shard int, n int")
+    first = stored(first, "passages", "zstd")
+    windows = first.where("windows IS NOT NULL").select("shard", "windows", "checks", "counts").mapInArrow(_window_rows, "w long, x int, shard int")
     repeated = twice(windows, ["w", "x"])
     held = first.where("text IS NOT NULL").select("shard", "doc_id", "n_words", "text")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: int, end: int>>"

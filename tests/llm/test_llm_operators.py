@@ -435,12 +435,13 @@ def test_passage_everywhere(spark, tmp_path):
     assert counted(substrings.repeated_passages(docs, shard_bytes=700, spread=F.col("_metadata.row_index")).select(pick)) == want
 
 
-def test_windows_by_128_bits():
+def test_windows_by_two_hashes():
     """Windows that agree in one of the two hashes only are told apart."""
-    known, count = substrings._distinct(np.array([[5, 1], [5, 1], [5, 3], [7, 1]], dtype=np.uint64))
-    assert known.tolist() == [[5, 1], [5, 3], [7, 1]] and count.tolist() == [2, 1, 1]
-    asked = np.array([[5, 1], [5, 2], [5, 3], [7, 1], [7, 3], [9, 1], [0, 0]], dtype=np.uint64)
-    assert substrings._among(asked, known).tolist() == [True, False, True, True, False, False, False]
+    both = lambda pairs: (np.array([a for a, _ in pairs], dtype=np.uint64), np.array([b for _, b in pairs], dtype=np.uint32))
+    known, count = substrings._distinct(*both([(5, 3), (5, 1), (5, 1), (7, 1)]))
+    assert [x.tolist() for x in known] == [[5, 5, 7], [1, 3, 1]] and count.tolist() == [2, 1, 1]
+    asked = both([(5, 1), (5, 2), (5, 3), (7, 1), (7, 3), (9, 1), (0, 0)])
+    assert substrings._among(*asked, known).tolist() == [True, False, True, True, False, False, False]
 
 
 # -- 7 ---------------------------------------------------------------------------------------------------------------------
