@@ -66,9 +66,19 @@ def resolve(base: Column, link: Column) -> Column:
         .when(link == "", no_fragment)
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))
     )
-    for pattern, to in ((r"/(?:\./)+", "/"), *[(r"(://[^/]+(?:/[^/?#]+)*?)/(?!\.\./)[^/?#]+/\.\./", "$1/")] * 4, (r"(://[^/]+)/(?:\.\./)+", "$1/")):
-        joined = F.regexp_replace(joined, pattern, to)
-    return joined
+    return F.when(joined.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/[^?#]*\.") & joined.rlike(r"/\.\.?(?:[/?#]|$)"), _without_dots(joined)).otherwise(joined)
+
+
+def _without_dots(url: Column) -> Column:
+    """Dot segments taken out of the path, however many; query and fragment stay."""
+    part = lambda i: F.regexp_extract(url, _URL, i)
+    segments = F.split(F.substring(path(url), 2, 1 << 30), "/")
+    last = F.element_at(segments, -1)
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(part(1), F.lit("://"), part(2), F.lit("/"), F.array_join(kept, "/"), part(4), part(5))
 
 
 #: Anchors with a quoted href: (tag, href, text).

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import codec, text
@@ -123,5 +125,94 @@ def lengths(tokenised_: DataFrame, doc_ids: DataFrame) -> DataFrame:
     return doc_ids.select("doc_id").distinct().join(tokenised_.select("doc_id", "dl"), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
 
 
+# -- an index that lookups read ------------------------------------------------------------------------------------------
+
+#: Directories that terms are dealt to, and how many asked terms or documents reach a scan as literals.
+BUCKETS, LITERALS = 32, 1_000
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings (doc_id, dl, term, tf, pos), vocabulary (term, df, cf), statistics (one row) and forward (doc_id, tokens, dl).
+
+    ``stored`` ones (see ``read_index``) are Parquet, dealt to ``buckets`` directories by term and sorted by it, so a lookup
+    opens the asked terms' directories and row groups; others are computed from the forward table whenever they are used.
+    """
+
+    forward: DataFrame
+    stored_postings: DataFrame | None = None
+    stored_vocabulary: DataFrame | None = None
+    stored_statistics: DataFrame | None = None
+    buckets: int = 0
+
+    def _asked(self, rows: DataFrame, terms: DataFrame) -> DataFrame:
+        """Rows of the asked terms: by literals in the scan if they are few, by a join if not."""
+        asked = terms.select("term").distinct()
+        few = asked.select("term", _bucket(F.col("term"), self.buckets).alias("b")).limit(LITERALS + 1).collect()
+        if len(few) <= LITERALS:
+            return rows.where(F.col("bucket").isin(sorted({r["b"] for r in few})) & F.col("term").isin([r["term"] for r in few]))
+        return rows.join(asked, "term", "left_semi")
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """(doc_id, dl, term, tf, pos) of all terms or the asked ones; tokens meet the asked terms before any shuffle."""
+        if self.stored_postings is not None:
+            rows = self.stored_postings if terms is None else self._asked(self.stored_postings, terms)
+            return rows.select("doc_id", "dl", "term", "tf", "pos")
+        rows = self.forward.select("doc_id", "dl", F.posexplode("tokens").alias("at", "term"))
+        if terms is not None:
+            rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+        return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list(F.col("at") + 1)).alias("pos"))
+
+    def vocabulary(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df, cf) of all terms or the asked ones."""
+        if self.stored_vocabulary is not None:
+            rows = self.stored_vocabulary if terms is None else self._asked(self.stored_vocabulary, terms)
+            return rows.select("term", "df", "cf")
+        return term_statistics(self.postings(terms))
+
+    def statistics(self, vocabulary: bool = True) -> DataFrame:
+        """One row: n_docs, avgdl, total and, if asked, vocab."""
+        return self.stored_statistics if self.stored_statistics is not None else corpus_statistics(self.forward, vocabulary)
+
+    def documents(self, doc_ids: DataFrame) -> DataFrame:
+        """(doc_id, tokens, dl) of the asked documents."""
+        few = doc_ids.select("doc_id").distinct().limit(LITERALS + 1).collect() if self.buckets else [None] * (LITERALS + 1)
+        if len(few) <= LITERALS:
+            return self.forward.where(F.col("doc_id").isin([r["doc_id"] for r in few]))
+        return self.forward.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def opened(source: DataFrame | Index) -> Index:
+    """An index as it is, or one computed from tokenised documents."""
+    return source if isinstance(source, Index) else Index(source)
+
+
+def write_index(tokenised_: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """The parts of an ``Index`` under ``path``. Documents are tokenised once; common terms' postings are split over files."""
+    spark = tokenised_.sparkSession
+    tokenised_.write.mode("overwrite").parquet(f"{path}/forward")
+    built = Index(spark.read.parquet(f"{path}/forward"))
+
+    def write(rows: DataFrame, name: str, order: list[str]) -> None:
+        dealt = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).hint("rebalance", "bucket")
+        dealt.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+
+    write(built.postings(), "postings", ["term", "doc_id"])
+    write(term_statistics(spark.read.parquet(f"{path}/postings")), "vocabulary", ["term"])
+    counts = corpus_statistics(built.forward, vocabulary=False).crossJoin(spark.read.parquet(f"{path}/vocabulary").agg(F.count("*").alias("vocab")))  # one row each
+    counts.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """An index that ``write_index`` stored."""
+    get = lambda name: spark.read.parquet(f"{path}/{name}")
+    statistics = get("statistics")
+    return Index(get("forward"), get("postings"), get("vocabulary"), statistics.drop("buckets"), statistics.first()["buckets"])
+
+
 def literal_terms(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])

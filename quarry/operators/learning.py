@@ -125,7 +125,7 @@ def classifier(kind: str, n_train: int):
     own = {"featuresCol": "x", "labelCol": "label", "predictionCol": "predicted"}
     return {
         "bayes": lambda: NaiveBayes(modelType="multinomial", smoothing=1.0, **own),
-        "tree": lambda: DecisionTreeClassifier(impurity="gini", maxDepth=20, seed=42, **own),
+        "tree": lambda: DecisionTreeClassifier(impurity="gini", maxDepth=30, seed=42, **own),
         "logistic": lambda: LogisticRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, **own),
     }[kind]()
 

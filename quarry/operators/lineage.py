@@ -1,23 +1,36 @@
-"""Reliable checkpoints for iterative operators."""
+"""Reliable checkpoints and scratch folders for operators that compute something once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in ``spark.checkpoint.dir``, so a lost executor costs no earlier iteration.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the driver runs alone (local mode) and the setting is missing is a temporary folder used.
+    Only where the executors are threads of the driver and the setting is missing is a temporary folder made and set; a
+    cluster without it is an error, as its nodes share no local disk. What is written below it is never removed here:
+    give it a life time by the store's rules, or delete it when the application ends.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
         context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so a lost executor costs no earlier iteration."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

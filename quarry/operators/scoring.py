@@ -18,15 +18,14 @@ def query_terms(queries: DataFrame, analyse=text.analyse_query) -> DataFrame:
     return rows.groupBy("query_id", "n", "term").agg(F.count("*").cast("int").alias("qtf"), F.min("pos").alias("first"))
 
 
-def matches(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
+def matches(source: DataFrame | index.Index, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, dl, term, qtf, n, tf, df, ttf): every query term in every document that holds it.
 
-    Tokens meet the queries' distinct terms before anything is shuffled, so only their occurrences are counted.
+    From an index, whose lookups read the asked terms only, or from tokenised documents.
     """
-    held = tokenised.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = held.groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
-    return tf.join(stats.join(terms, "term"), "term")
+    found = index.opened(source)
+    stats = found.vocabulary(terms).select("term", "df", F.col("cf").alias("ttf"))
+    return found.postings(terms).select("doc_id", "dl", "term", "tf").join(stats.join(terms, "term"), "term")
 
 
 def okapi(tf: Column, dl: Column, avgdl: Column) -> Column:
@@ -60,7 +59,7 @@ def _models() -> dict[str, tuple[Column, bool, bool]]:
 MODELS = ("okapi_tf", "tf_idf", "bm25_penalised", "bm25", "bm25_default", "lm_laplace", "lm_jelinek_mercer")
 
 
-def scores(tokenised: DataFrame, terms: DataFrame, model: str = "bm25", candidates: DataFrame | None = None, penalise: bool | None = None) -> DataFrame:
+def scores(tokenised: DataFrame | index.Index, terms: DataFrame, model: str = "bm25", candidates: DataFrame | None = None, penalise: bool | None = None) -> DataFrame:
     """(query_id, doc_id, score) of the documents that hold a query term, by one of MODELS.
 
     Terms count as often as the query repeats them. Models that penalise absent terms charge PENALTY for each token of
@@ -72,7 +71,7 @@ def scores(tokenised: DataFrame, terms: DataFrame, model: str = "bm25", candidat
     rows = matches(tokenised, terms)
     if candidates is not None:
         rows = rows.join(candidates.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
-    stats = F.broadcast(index.corpus_statistics(tokenised, vocabulary))  # one row
+    stats = F.broadcast(index.opened(tokenised).statistics(vocabulary))  # one row
     rows = rows.crossJoin(stats)
     total = F.sum(F.col("qtf") * term_score)
     if absent:
@@ -80,10 +79,10 @@ def scores(tokenised: DataFrame, terms: DataFrame, model: str = "bm25", candidat
     return rows.groupBy("query_id", "doc_id").agg(total.alias("score")).where("score <> 0")
 
 
-def score_table(tokenised: DataFrame, terms: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
+def score_table(tokenised: DataFrame | index.Index, terms: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
     """(query_id, doc_id, one column per model), without penalties for absent terms, all from one join and one sum."""
     own = {m: x for m, x in _models().items() if m in models}
-    stats = F.broadcast(index.corpus_statistics(tokenised, any(x[2] for x in own.values())))  # one row
+    stats = F.broadcast(index.opened(tokenised).statistics(any(x[2] for x in own.values())))  # one row
     rows = matches(tokenised, terms).crossJoin(stats)
     return rows.groupBy("query_id", "doc_id").agg(*[F.sum(F.col("qtf") * own[m][0]).alias(m) for m in models])
 
@@ -97,19 +96,19 @@ def ranked(scored: DataFrame, most: int | None = 1000, digits: int | None = None
     return (out.where(F.col("rank") <= most) if most else out).select("query_id", "doc_id", "rank", "score")
 
 
-def rescored(tokenised: DataFrame, terms: DataFrame, model: str, first: str = "bm25_default", most: int = 1000) -> DataFrame:
+def rescored(tokenised: DataFrame | index.Index, terms: DataFrame, model: str, first: str = "bm25_default", most: int = 1000) -> DataFrame:
     """Two stages: the ``most`` best of one model are scored by another."""
     best = ranked(scores(tokenised, terms, first), most)
     return ranked(scores(tokenised, terms, model, candidates=best), most)
 
 
-def _places(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
+def _places(tokenised: DataFrame | index.Index, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, at): per query and document its query terms' places in order. A document's own length bounds it."""
-    rows = index.tokens(tokenised).join(terms.select("query_id", "term"), "term")
+    rows = index.opened(tokenised).postings(terms).select("doc_id", "term", F.explode("pos").alias("pos")).join(terms.select("query_id", "term"), "term")
     return rows.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("at"))
 
 
-def proximity(tokenised: DataFrame, terms: DataFrame, distance: int = 5) -> DataFrame:
+def proximity(tokenised: DataFrame | index.Index, terms: DataFrame, distance: int = 5) -> DataFrame:
     """(query_id, doc_id, score): 1 / (1 + mean distance) over pairs of different query terms at most ``distance`` apart.
 
     A place has one term, so a pair is at most ``distance`` entries apart in the sorted list: no pairs beyond are formed.
@@ -126,7 +125,7 @@ def proximity(tokenised: DataFrame, terms: DataFrame, distance: int = 5) -> Data
     return rows.select("query_id", "doc_id", (1 / (mean + 1)).alias("score"))
 
 
-def nearest_pair(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
+def nearest_pair(tokenised: DataFrame | index.Index, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): 1 / smallest distance of two different query terms; 0 if a document lacks a term.
 
     The nearest two stand next to each other in the sorted places. Queries of one term score 0.

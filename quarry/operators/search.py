@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import index, scoring
 
 
-def match(tokenised: DataFrame, terms: DataFrame, most: int = 1000) -> DataFrame:
+def match(tokenised: DataFrame | index.Index, terms: DataFrame, most: int = 1000) -> DataFrame:
     """The ``most`` best documents of each query that hold any of its terms."""
     return scoring.ranked(scoring.scores(tokenised, terms, "bm25_default"), most)
 
@@ -61,7 +61,7 @@ def complete(fields: DataFrame, prefix: str, most: int = 5) -> DataFrame:
     return fields.where(starts("title_tokens") | starts("tokens")).orderBy("doc_id").limit(most).select("doc_id", "title")
 
 
-def search(tokenised: DataFrame, terms: DataFrame, documents: DataFrame, number: int, words: list[str], size: int = 10) -> DataFrame:
+def search(tokenised: DataFrame | index.Index, terms: DataFrame, documents: DataFrame, number: int, words: list[str], size: int = 10) -> DataFrame:
     """A page of results with titles and snippets."""
     hits = page(match(tokenised, terms), number, size)
     return hits.join(documents, "doc_id").select("query_id", "rank", "doc_id", "score", "title", snippet(F.col("text"), words).alias("snippet"))

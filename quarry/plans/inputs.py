@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import index, scoring
+from quarry.operators.lineage import new_folder
 
 TOPICS = ((1, "thble thor anea"), (2, "ther the tion the"), (3, "queque étre que"), (4, "the of thhe a"))
 STOPS = ("the", "of", "and", "to", "in", "a", "is", "that")
@@ -22,6 +23,24 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.tokenised(table(spark, sf_dir, "documents"))
 
 
+#: Indexes stored in this process: (application, table, its files) -> folder.
+_STORED: dict[tuple, str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of the documents: written when it is first asked for, and anew when the table's files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    conf = spark._jsc.hadoopConfiguration()
+    files = tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in path.getFileSystem(conf).listStatus(path))
+    key = (spark.sparkContext.applicationId, path.toString(), files)
+    folder = _STORED.get(key)
+    done = folder and spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/statistics/_SUCCESS")
+    if not done or not done.getFileSystem(conf).exists(done):
+        folder = _STORED[key] = new_folder(spark, "index")
+        index.write_index(corpus(spark, sf_dir), folder)
+    return index.read_index(spark, folder)
+
+
 def terms(spark: SparkSession) -> DataFrame:
     return scoring.query_terms(spark.createDataFrame(TOPICS, "query_id int, text string"))
 

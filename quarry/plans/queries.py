@@ -11,7 +11,7 @@ from quarry.functions import codec, text, urls
 from quarry.operators import evaluation, expansion, graph, index, learning, scoring, search
 from quarry.operators.lineage import settled
 from quarry.plans.inputs import (
-    FEATURES, SQL_EDGES, SQL_JUDGEMENTS, SQL_MAILS, SQL_TERMS, STEMS, STOPS, corpus, edges, judgements, mails, pages,
+    FEATURES, SQL_EDGES, SQL_JUDGEMENTS, SQL_MAILS, SQL_TERMS, STEMS, STOPS, corpus, edges, indexed, judgements, mails, pages,
     sql_ranked, sql_scores, sql_tokens, sql_words, table, terms,
 )
 from quarry.sources.readers import split_by_hash
@@ -170,20 +170,20 @@ def posting_cap(spark, d):
 
 @query(f"{_MATCH} SELECT d.doc_id, q.term, coalesce(tf, 0)::INT AS tf FROM documents d CROSS JOIN (SELECT DISTINCT term FROM q) q LEFT JOIN tf ON tf.doc_id = d.doc_id AND tf.term = q.term")
 def term_lookup(spark, d):
-    whole = corpus(spark, d)
-    pairs = whole.select("doc_id").crossJoin(F.broadcast(terms(spark).select("term").distinct()))  # a literal list of terms
-    return index.term_frequency(index.frequencies(whole), pairs)
+    whole, asked = indexed(spark, d), terms(spark).select("term").distinct()
+    pairs = whole.forward.select("doc_id").crossJoin(F.broadcast(asked))  # a literal list of terms
+    return index.term_frequency(whole.postings(asked).select("doc_id", "term", "tf"), pairs)
 
 
 @query(f"WITH {_DOC} SELECT doc_id, term, tf, df, cf AS ttf FROM tf JOIN ts USING (term) WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def term_vectors(spark, d):
-    tf = index.frequencies(corpus(spark, d))
-    return index.term_vectors(tf, index.term_statistics(tf), table(spark, d, "labels").where("toxic = 1"))
+    whole = indexed(spark, d)
+    return index.term_vectors(whole.postings().select("doc_id", "term", "tf"), whole.vocabulary(), table(spark, d, "labels").where("toxic = 1"))
 
 
 @query(f"WITH {_DOC} SELECT l.doc_id, coalesce(dl, 0)::INT AS dl FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN t USING (doc_id)")
 def doc_lengths(spark, d):
-    return index.lengths(corpus(spark, d), table(spark, d, "labels"))
+    return index.lengths(indexed(spark, d).forward, table(spark, d, "labels"))
 
 
 # -- search and scoring ------------------------------------------------------------------------------------------------------
@@ -191,7 +191,7 @@ def doc_lengths(spark, d):
 
 def _scored(model: str):
     def run(spark, d):
-        return scoring.ranked(scoring.scores(corpus(spark, d), terms(spark), model), digits=6)
+        return scoring.ranked(scoring.scores(indexed(spark, d), terms(spark), model), digits=6)
 
     query(f"{_MATCH}, {sql_scores(model)}, {sql_ranked()} SELECT * FROM r", f"score_{model}")(run)
 
@@ -202,13 +202,13 @@ for _m in scoring.MODELS:
 
 @query(f"{_BEST} SELECT query_id, doc_id, rank FROM r")
 def match_topk(spark, d):
-    return scoring.ranked(scoring.scores(corpus(spark, d), terms(spark), "bm25_default"), 1000, 6).select("query_id", "doc_id", "rank")
+    return scoring.ranked(scoring.scores(indexed(spark, d), terms(spark), "bm25_default"), 1000, 6).select("query_id", "doc_id", "rank")
 
 
 @query(f"{_BEST}, {sql_scores('bm25_penalised', out='s2', candidates='r')}, {sql_ranked('s2', 'r2')} SELECT * FROM r2")
 def two_stage_rescore(spark, d):
-    whole, asked = corpus(spark, d), terms(spark)
-    best = scoring.ranked(scoring.scores(whole, asked, "bm25_default"), 1000, 6)
+    whole, asked = indexed(spark, d), terms(spark)
+    best = settled(scoring.ranked(scoring.scores(whole, asked, "bm25_default"), 1000, 6))
     return scoring.ranked(scoring.scores(whole, asked, "bm25_penalised", candidates=best), digits=6)
 
 
@@ -216,7 +216,7 @@ def two_stage_rescore(spark, d):
 JOIN tok x ON x.term = a.term JOIN tok y ON y.term = b.term AND y.doc_id = x.doc_id AND abs(x.pos - y.pos) <= 5)
 SELECT query_id, doc_id, round(1 / (1 + avg(d)), 6) AS score FROM p GROUP BY query_id, doc_id""")
 def proximity_pairs(spark, d):
-    return scoring.proximity(corpus(spark, d), terms(spark)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return scoring.proximity(indexed(spark, d), terms(spark)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""{_MATCH}, p AS (SELECT a.query_id, x.doc_id, min(abs(x.pos - y.pos)) AS d FROM q a JOIN q b ON a.query_id = b.query_id AND a.term < b.term
@@ -224,17 +224,18 @@ JOIN tok x ON x.term = a.term JOIN tok y ON y.term = b.term AND y.doc_id = x.doc
 h AS (SELECT query_id, doc_id, count(*) AS n FROM q JOIN tf USING (term) GROUP BY ALL), k AS (SELECT query_id, count(*) AS n FROM q GROUP BY ALL)
 SELECT h.query_id, h.doc_id, CASE WHEN h.n = k.n THEN round(coalesce(1.0::DOUBLE / d, 0), 6) ELSE 0 END AS score FROM h JOIN k USING (query_id) LEFT JOIN p ON p.query_id = h.query_id AND p.doc_id = h.doc_id""")
 def proximity_min(spark, d):
-    return scoring.nearest_pair(corpus(spark, d), terms(spark)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return scoring.nearest_pair(indexed(spark, d), terms(spark)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_DOC} SELECT doc_id, tf FROM tf WHERE term = 'thble'")
 def term_documents(spark, d):
-    return search.documents_of(corpus(spark, d), "thble")
+    asked = spark.createDataFrame([("thble",)], "term string")
+    return indexed(spark, d).postings(asked).select("doc_id", "tf")
 
 
 @query(f"WITH {_DOC} SELECT a.doc_id, count(*)::INT AS hits FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id")
 def phrase_match(spark, d):
-    return search.phrase(corpus(spark, d), ["of", "the"])
+    return search.phrase(indexed(spark, d).forward, ["of", "the"])
 
 
 def _fields(spark, d):
@@ -270,7 +271,7 @@ def multi_match_best_fields(spark, d):
 
 @query(f"{_BEST} SELECT * FROM r WHERE rank BETWEEN 11 AND 20")
 def paged_search(spark, d):
-    return search.page(scoring.ranked(scoring.scores(corpus(spark, d), terms(spark), "bm25_default"), 1000, 6), 1)
+    return search.page(scoring.ranked(scoring.scores(indexed(spark, d), terms(spark), "bm25_default"), 1000, 6), 1)
 
 
 @query("""WITH p AS (SELECT doc_id, text, instr(lower(text), 'thble') AS a FROM documents)
@@ -297,7 +298,7 @@ def assess(spark, d):
 @query(f"""{_BEST}, b AS (SELECT r.query_id, term, sum(df)::BIGINT AS df, sum(cf)::BIGINT AS ttf FROM r JOIN tf USING (doc_id) JOIN ts USING (term) WHERE rank <= 10 GROUP BY ALL)
 SELECT query_id, term, df, ttf, (row_number() OVER (PARTITION BY query_id ORDER BY df DESC, ttf, term))::INT AS rank FROM b QUALIFY rank <= 5""")
 def prf_basic_terms(spark, d):
-    return expansion.feedback_terms(corpus(spark, d), terms(spark))
+    return expansion.feedback_terms(indexed(spark, d), terms(spark))
 
 
 @query(f"""{_MATCH}, f AS (SELECT DISTINCT q.term AS asked, doc_id FROM q JOIN tf USING (term)), nf AS (SELECT asked, count(*) AS n_front FROM f GROUP BY ALL),
@@ -307,13 +308,16 @@ k AS (SELECT asked, term, row_number() OVER (PARTITION BY asked ORDER BY jlh DES
 v AS (SELECT q.query_id, k.term, count(*) AS votes, min((q.first, k.place)) AS seen FROM q JOIN k ON k.asked = q.term GROUP BY ALL HAVING count(*) >= 2)
 SELECT query_id, term, votes, (row_number() OVER (PARTITION BY query_id ORDER BY seen, term))::INT AS rank FROM v QUALIFY rank <= 5""")
 def prf_significant_terms(spark, d):
-    return expansion.significant_terms(corpus(spark, d), terms(spark))
+    return expansion.significant_terms(indexed(spark, d), terms(spark))
 
 
-@query()
+@query(f"""{_BEST}, b AS (SELECT r.query_id, term, sum(df)::BIGINT AS df, sum(cf)::BIGINT AS ttf FROM r JOIN tf USING (doc_id) JOIN ts USING (term) WHERE rank <= 10 GROUP BY ALL),
+x AS (SELECT query_id, term FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY df DESC, ttf, term) <= 5),
+y AS (SELECT query_id, term, sum(qtf)::INT AS qtf, NULL AS first FROM (SELECT query_id, term, qtf FROM q UNION ALL SELECT query_id, term, 1 FROM x) GROUP BY query_id, term),
+z AS (SELECT *, (sum(qtf) OVER (PARTITION BY query_id))::INT AS n FROM y), {sql_scores('bm25', out='s2').replace('FROM q JOIN', 'FROM z JOIN')}, {sql_ranked('s2', 'r2')} SELECT * FROM r2""")
 def prf_rerun(spark, d):
-    whole, asked = corpus(spark, d), terms(spark)
-    return expansion.rerun(whole, asked, expansion.feedback_terms(whole, asked), "bm25")
+    whole, asked = indexed(spark, d), terms(spark)
+    return expansion.rerun(whole, asked, expansion.feedback_terms(whole, asked), "bm25", digits=6)
 
 
 # -- graph -----------------------------------------------------------------------------------------------------------------
@@ -324,9 +328,23 @@ def degrees(spark, d):
     return graph.degrees(edges(spark, d))
 
 
-@query(f"WITH {SQL_EDGES} SELECT DISTINCT dst AS page FROM e WHERE l_quantity < 10 AND dst NOT IN (SELECT src FROM e WHERE l_quantity < 10)")
+@query(f"WITH {SQL_EDGES} SELECT DISTINCT dst AS page FROM e WHERE dst NOT IN (SELECT src FROM e)")
 def sink_pages(spark, d):
-    return graph.sinks(edges(spark, d).where("l_quantity < 10"))
+    return graph.sinks(edges(spark, d))
+
+
+#: The line after the last of an order stands for it, under a negative number: the whole graph with natural sinks.
+_ENDED = f"WITH {SQL_EDGES}, e2 AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT max_by(l_partkey, (l_linenumber, l_partkey, l_quantity)), -l_orderkey FROM lineitem GROUP BY l_orderkey)"
+
+
+def _ended(spark, d):
+    last = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_partkey", F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("src"))
+    return edges(spark, d).select("src", "dst").unionByName(last.select("src", (-F.col("l_orderkey")).alias("dst")))
+
+
+@query(f"{_ENDED} SELECT DISTINCT dst AS page FROM e2 WHERE dst NOT IN (SELECT src FROM e2)")
+def sink_orders(spark, d):
+    return graph.sinks(_ended(spark, d))
 
 
 @query(f"WITH {SQL_EDGES} SELECT src AS page, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS links FROM e GROUP BY src")
@@ -334,22 +352,33 @@ def invert_links(spark, d):
     return graph.inverted(edges(spark, d)).select("page", F.array_join(F.col("links").cast("array<string>"), " ").alias("links"))
 
 
-def _sql_pagerank(where: str, rounds: int) -> str:
-    out = f"WITH {SQL_EDGES}, f AS MATERIALIZED (SELECT src, dst FROM e WHERE {where}), o AS (SELECT src, count(*) AS n FROM f GROUP BY src), w AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / n AS share FROM f JOIN o USING (src)),\n"
+def _sql_pagerank(edges_: str, rounds: int) -> str:
+    out = f"{edges_}, o AS (SELECT src, count(*) AS n FROM f GROUP BY src), w AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / n AS share FROM f JOIN o USING (src)),\n"
     out += "n AS MATERIALIZED (SELECT p.dst AS page, o.src IS NULL AS sink, (SELECT count(DISTINCT dst) FROM f) AS n FROM (SELECT DISTINCT dst FROM f) p LEFT JOIN o ON o.src = p.dst),\nr0 AS MATERIALIZED (SELECT page, sink, n, 1.0::DOUBLE / n AS rank FROM n)"
     for i in range(rounds):
         out += f",\nr{i + 1} AS MATERIALIZED (SELECT a.page, a.sink, a.n, 0.15 / a.n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE sink) / a.n + 0.85 * coalesce(g, 0) AS rank FROM r{i} a LEFT JOIN (SELECT w.dst, sum(r.rank * w.share) AS g FROM w JOIN r{i} r ON r.page = w.src GROUP BY w.dst) b ON b.dst = a.page)"
     return out
 
 
-@query(f"{_sql_pagerank('true', 10)} SELECT page, round(rank, 9) AS rank FROM r10")
+@query(f"{_sql_pagerank(f'WITH {SQL_EDGES}, f AS MATERIALIZED (SELECT src, dst FROM e)', 10)} SELECT page, round(rank, 9) AS rank FROM r10")
 def pagerank_k10(spark, d):
     return graph.pagerank(edges(spark, d), iterations=10, tolerance=None).select("page", F.round("rank", 9).alias("rank"))
 
 
-@query(f"{_sql_pagerank('l_quantity < 10', 10)} SELECT page, round(rank, 9) AS rank FROM r10")
+@query(f"{_sql_pagerank(f'{_ENDED}, f AS MATERIALIZED (FROM e2)', 10)} SELECT page, round(rank, 9) AS rank FROM r10")
 def pagerank_sinks(spark, d):
-    return graph.pagerank(edges(spark, d).where("l_quantity < 10"), iterations=10, tolerance=None).select("page", F.round("rank", 9).alias("rank"))
+    """The mass of pages without out-links goes to all pages."""
+    return graph.pagerank(_ended(spark, d), iterations=10, tolerance=None).select("page", F.round("rank", 9).alias("rank"))
+
+
+_URL_EDGES = f"WITH {SQL_EDGES}, f AS MATERIALIZED (SELECT sha256('http://p.org/' || src) AS src, sha256('http://p.org/' || dst) AS dst FROM e)"
+
+
+@query(f"{_sql_pagerank(_URL_EDGES, 10)} SELECT page, round(rank, 9) AS rank FROM r10")
+def pagerank_urls(spark, d):
+    """Pages known by URLs, ranked by the hash of each."""
+    url = lambda c: graph.url_id(F.concat(F.lit("http://p.org/"), F.col(c).cast("string"))).alias(c)
+    return graph.pagerank(edges(spark, d).select(url("src"), url("dst")), iterations=10, tolerance=None).select("page", F.round("rank", 9).alias("rank"))
 
 
 @query()
@@ -364,49 +393,33 @@ def top_pages_report(spark, d):
     return graph.report(out, e).select(graph_line(F.col("page"), F.col("rank"), F.col("n_out"), F.col("n_in")).alias("line"))
 
 
-def _roots(e):
-    return e.where("l_quantity >= 49 AND src <= 100").select(F.col("src").alias("page")).distinct()
+def _whole_base(e):
+    """From every source of an edge with l_quantity >= 49: three rounds, 200 links each way, no page target."""
+    roots = e.where("l_quantity >= 49").select(F.col("src").alias("page"))
+    return graph.base_set(roots, e, rounds=3, per_page=200, target=2**63 - 1)
 
 
 _BASE = f"""WITH {SQL_EDGES}, b2 AS MATERIALIZED (SELECT DISTINCT src AS page, dst AS other, 'out' AS way FROM e UNION SELECT DISTINCT dst, src, 'in' FROM e),
-k AS MATERIALIZED (SELECT page, other FROM b2 QUALIFY row_number() OVER (PARTITION BY page, way ORDER BY sha256(other::VARCHAR), other) <= 5),
-p0 AS MATERIALIZED (SELECT DISTINCT src AS page FROM e WHERE l_quantity >= 49 AND src <= 100), p1 AS MATERIALIZED (FROM p0 UNION SELECT other FROM k WHERE page IN (FROM p0)), p2 AS MATERIALIZED (FROM p1 UNION SELECT other FROM k WHERE page IN (FROM p1))"""
+k AS MATERIALIZED (SELECT page, other FROM b2 QUALIFY row_number() OVER (PARTITION BY page, way ORDER BY sha256(other::VARCHAR), other) <= 200),
+p0 AS MATERIALIZED (SELECT DISTINCT src AS page FROM e WHERE l_quantity >= 49), p1 AS MATERIALIZED (FROM p0 UNION SELECT other FROM k WHERE page IN (FROM p0)),
+p2 AS MATERIALIZED (FROM p1 UNION SELECT other FROM k WHERE page IN (FROM p1)), p3 AS MATERIALIZED (FROM p2 UNION SELECT other FROM k WHERE page IN (FROM p2))"""
 
 
-@query(f"{_BASE} FROM p2")
+@query(f"{_BASE} FROM p3")
 def base_set(spark, d):
-    e = edges(spark, d)
-    return graph.base_set(_roots(e), e, rounds=2, per_page=5, target=10**9)
+    return _whole_base(edges(spark, d))
 
 
 def _sql_hits(rounds: int) -> str:
-    out = f"{_BASE}, l AS MATERIALIZED (SELECT src, dst, count(*) AS w FROM e WHERE src IN (FROM p2) AND dst IN (FROM p2) GROUP BY ALL), h0 AS MATERIALIZED (SELECT page, 1.0::DOUBLE AS v FROM p2)"
+    out = f"{_BASE}, l AS MATERIALIZED (SELECT src, dst, count(*) AS w FROM e WHERE src IN (FROM p3) AND dst IN (FROM p3) GROUP BY ALL), h0 AS MATERIALIZED (SELECT page, 1.0::DOUBLE AS v FROM p3)"
     for i in range(rounds):
         for to, source, a, b in ((f"a{i + 1}", f"h{i}", "src", "dst"), (f"h{i + 1}", f"a{i + 1}", "dst", "src")):
-            out += f",\n{to} AS MATERIALIZED (SELECT p.page, coalesce(s / (sqrt(sum(s * s) OVER ())), 0) AS v FROM p2 p LEFT JOIN (SELECT l.{b} AS page, sum(w * v) AS s FROM l JOIN {source} x ON x.page = l.{a} GROUP BY 1) USING (page))"
+            out += f",\n{to} AS MATERIALIZED (SELECT p.page, coalesce(s / (sqrt(sum(s * s) OVER ())), 0) AS v FROM p3 p LEFT JOIN (SELECT l.{b} AS page, sum(w * v) AS s FROM l JOIN {source} x ON x.page = l.{a} GROUP BY 1) USING (page))"
     return out + f" SELECT page, round(a.v, 8) AS authority, round(h.v, 8) AS hub FROM a{rounds} a JOIN h{rounds} h USING (page)"
 
 
 @query(_sql_hits(11))
 def hits_k11(spark, d):
-    e = edges(spark, d)
-    found = graph.hits(e, graph.base_set(_roots(e), e, rounds=2, per_page=5, target=10**9))
-    return found.select("page", F.round("authority", 8).alias("authority"), F.round("hub", 8).alias("hub"))
-
-
-def _whole_base(e):
-    """R5 from every source of an edge with l_quantity >= 49: three rounds, 200 links each way, no page target."""
-    roots = e.where("l_quantity >= 49").select(F.col("src").alias("page"))
-    return graph.base_set(roots, e, rounds=3, per_page=200, target=2**63 - 1)
-
-
-@query()
-def base_set_whole(spark, d):
-    return _whole_base(edges(spark, d))
-
-
-@query()
-def hits_whole(spark, d):
     e = edges(spark, d)
     found = graph.hits(e, _whole_base(e))
     return found.select("page", F.round("authority", 8).alias("authority"), F.round("hub", 8).alias("hub"))
@@ -533,7 +546,8 @@ v AS MATERIALIZED (SELECT *, (sum((grade > 0)::INT) OVER w)::BIGINT AS hits, hit
 
 
 def _run(spark, d):
-    return scoring.ranked(scoring.scores(corpus(spark, d), terms(spark), "bm25_default"), 1000, 6)
+    """The ranking is computed once: several branches of an evaluation read it."""
+    return settled(scoring.ranked(scoring.scores(indexed(spark, d), terms(spark), "bm25_default"), 1000, 6))
 
 
 def _rounded(rows):
@@ -553,13 +567,13 @@ o AS (SELECT query_id, CASE WHEN num_rel > 0 THEN coalesce(sum(CASE WHEN grade >
 @query(f"{_SUMMARY} SELECT query_id, round(average_precision, 6) AS average_precision, round(r_precision, 6) AS r_precision, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM o LEFT JOIN i USING (query_id)")
 def eval_summary(spark, d):
     j = judgements(spark, d)
-    return _rounded(evaluation.summary(evaluation.judged_run(_run(spark, d), j), j))
+    return _rounded(evaluation.summary(settled(evaluation.judged_run(_run(spark, d), j)), j))
 
 
 @query(f"{_SUMMARY} SELECT round(avg(average_precision), 6) AS average_precision, round(avg(r_precision), 6) AS r_precision, round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 6) AS ndcg FROM o LEFT JOIN i USING (query_id)")
 def eval_means(spark, d):
     j = judgements(spark, d)
-    return _rounded(evaluation.means(evaluation.summary(evaluation.judged_run(_run(spark, d), j), j)))
+    return _rounded(evaluation.means(evaluation.summary(settled(evaluation.judged_run(_run(spark, d), j)), j)))
 
 
 @query(f"{_EVAL} SELECT query_id, rank, round(recall, 6) AS recall, round(precision, 6) AS precision FROM v")
@@ -606,7 +620,7 @@ _LTR = ("okapi_tf", "tf_idf", "bm25", "bm25_default", "lm_laplace", "lm_jelinek_
 
 
 def _features(spark, d):
-    table_ = scoring.score_table(corpus(spark, d), terms(spark), _LTR)
+    table_ = settled(scoring.score_table(indexed(spark, d), terms(spark), _LTR))
     return learning.joined_features(table_.select("query_id", "doc_id", *[F.round(m, 6).alias(m) for m in _LTR]), judgements(spark, d))
 
 

@@ -31,7 +31,7 @@ def test_whole_base_and_hits(spark, tmp_path):
                 others = sorted({e[1 - way] for e in edges if e[way] == page}, key=lambda x: (sha256(str(x).encode()).hexdigest(), x))
                 near |= set(others[:200])
         base |= near
-    got = {r.page for r in queries.QUERIES["base_set_whole"](spark, str(tmp_path)).collect()}
+    got = {r.page for r in queries.QUERIES["base_set"](spark, str(tmp_path)).collect()}
     assert got == base and 201 <= len(base) < 235
     inside, hub = {e: w for e, w in edges.items() if e[0] in base and e[1] in base}, dict.fromkeys(base, 1.0)
     for _ in range(11):
@@ -41,5 +41,5 @@ def test_whole_base_and_hits(spark, tmp_path):
         hub = {p: sum(w * auth[t] for (s, t), w in inside.items() if s == p) for p in base}
         norm = sqrt(sum(x * x for x in hub.values()))
         hub = {p: x / norm for p, x in hub.items()}
-    rows = {r.page: r for r in queries.QUERIES["hits_whole"](spark, str(tmp_path)).collect()}
+    rows = {r.page: r for r in queries.QUERIES["hits_k11"](spark, str(tmp_path)).collect()}
     assert set(rows) == base and all(isclose(rows[p].authority, auth[p], abs_tol=1e-7) and isclose(rows[p].hub, hub[p], abs_tol=1e-7) for p in base)
