@@ -64,11 +64,14 @@ def analyse_query(text: Column, stop_words: list[str] = ()) -> Column:
     return F.filter(without(words(text), list(stop_words)), lambda w: F.length(w) > 1)
 
 
+def letter_words(text: Column) -> Column:
+    """Lower-case words that are letters only."""
+    return F.filter(unigrams(text), lambda w: w.rlike(r"^\p{L}+$"))
+
+
 def analyse_page(text: Column, stop_words: list[str] = ()) -> Column:
     """Lower case, words of letters only, stop words, Porter stems."""
-    parts = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    letters = F.filter(parts, lambda w: w.rlike(r"^\p{L}+$"))
-    return porter(without(letters, list(stop_words)))
+    return porter(without(letter_words(text), list(stop_words)))
 
 
 def clean_mail(text: Column) -> Column:

@@ -202,16 +202,21 @@ def write_index(tokenised_: DataFrame, path: str, buckets: int = BUCKETS) -> Non
         dealt.sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
 
     write(built.postings(), "postings", ["term", "doc_id"])
-    write(term_statistics(spark.read.parquet(f"{path}/postings")), "vocabulary", ["term"])
-    counts = corpus_statistics(built.forward, vocabulary=False).crossJoin(spark.read.parquet(f"{path}/vocabulary").agg(F.count("*").alias("vocab")))  # one row each
+    write(term_statistics(_part(built, path, "postings")), "vocabulary", ["term"])
+    counts = corpus_statistics(built.forward, vocabulary=False).crossJoin(_part(built, path, "vocabulary").agg(F.count("*").alias("vocab")))  # one row each
     counts.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
+def _part(built: Index, path: str, name: str) -> DataFrame:
+    """Postings or vocabulary with their schema as computed, as a folder of no rows does not tell it."""
+    schema = getattr(built, name)().schema.add("bucket", "int")
+    return built.forward.sparkSession.read.schema(schema).parquet(f"{path}/{name}")
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     """An index that ``write_index`` stored."""
-    get = lambda name: spark.read.parquet(f"{path}/{name}")
-    statistics = get("statistics")
-    return Index(get("forward"), get("postings"), get("vocabulary"), statistics.drop("buckets"), statistics.first()["buckets"])
+    built, statistics = Index(spark.read.parquet(f"{path}/forward")), spark.read.parquet(f"{path}/statistics")
+    return Index(built.forward, _part(built, path, "postings"), _part(built, path, "vocabulary"), statistics.drop("buckets"), statistics.first()["buckets"])
 
 
 def literal_terms(words: list[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.lineage import settled
@@ -120,6 +120,16 @@ def vectoriser(train: DataFrame, size: int | None = None, tokens: str = "tokens"
     return CountVectorizer(inputCol=tokens, outputCol="x", vocabSize=size).fit(train)
 
 
+def save_vectors(model: CountVectorizerModel, rows: DataFrame, path: str) -> None:
+    """The vectoriser under ``path``/vectoriser and the rows' sparse vectors under ``path``/matrix."""
+    model.write().overwrite().save(f"{path}/vectoriser")
+    model.transform(rows).drop(model.getInputCol()).write.mode("overwrite").parquet(f"{path}/matrix")
+
+
+def load_vectors(spark: SparkSession, path: str) -> tuple[CountVectorizerModel, DataFrame]:
+    return CountVectorizerModel.load(f"{path}/vectoriser"), spark.read.parquet(f"{path}/matrix")
+
+
 def classifier(kind: str, n_train: int):
     """A Spark ML classifier on column x: "bayes" (multinomial, smoothing 1), "tree" (Gini) or "logistic" (L2 with C = 1)."""
     own = {"featuresCol": "x", "labelCol": "label", "predictionCol": "predicted"}

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import codec, text, urls
-from quarry.operators import evaluation, expansion, graph, index, learning, scoring, search
+from quarry.operators import crawl, evaluation, expansion, graph, index, learning, scoring, search
 from quarry.operators.lineage import settled
 from quarry.plans.inputs import (
     FEATURES, SQL_EDGES, SQL_JUDGEMENTS, SQL_MAILS, SQL_TERMS, STEMS, STOPS, corpus, edges, indexed, judgements, mails, pages,
     sql_ranked, sql_scores, sql_tokens, sql_words, table, terms,
 )
-from quarry.sources.readers import split_by_hash
+from quarry.sources.readers import split_by_hash, split_by_place
 from quarry.sources.writers import graph_line, run_line
 from quarry.streaming.increments import event_windows
 
@@ -89,6 +89,11 @@ def porter_stem(spark, d):
     return rows.groupBy("stem").agg(F.count("*").alias("n"))
 
 
+@query(r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '\p{L}+')), ' ') AS words FROM documents")
+def letter_words(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.letter_words(F.col("text")), " ").alias("words"))
+
+
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<[^>]*>', ' ', 'g'), '[^a-zA-Z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS content FROM documents")
 def clean_mail(spark, d):
     return table(spark, d, "documents").select("doc_id", text.clean_mail(F.col("text")).alias("content"))
@@ -532,6 +537,74 @@ def frontier_priority(spark, d):
     return rows.select("target", "priority", F.row_number().over(Window.partitionBy("domain").orderBy("priority", "target")).alias("turn"))
 
 
+@query(f"{_FRONTIER} SELECT target, in_links FROM f WHERE regexp_replace(lower(target), 'https?://', '', 'g') NOT IN (SELECT regexp_replace(lower(url), 'https?://', '', 'g') FROM pages)")
+def unvisited_links(spark, d):
+    return crawl.unvisited(_frontier(spark, d), table(spark, d, "pages"), "target").select("target", "in_links")
+
+
+@query(f"SELECT page_id, {_PART(2)} <> '' AND NOT regexp_full_match({_PART(2)}, '[0-9]+') AS named FROM pages")
+def named_hosts(spark, d):
+    return table(spark, d, "pages").select("page_id", crawl.has_named_host(F.col("url")).alias("named"))
+
+
+@query("SELECT page_id FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN contains(lower(html), '<html') THEN 'text/html; charset=utf-8' ELSE 'text/plain' END AS content_type FROM pages) WHERE status = 200 AND contains(content_type, 'text/html')")
+def html_gate(spark, d):
+    """The table has no responses: status and type are made up from the id and the page."""
+    status, kind = F.when(F.col("page_id") % 7 == 0, 404).otherwise(200), F.when(F.lower("html").contains("<html"), "text/html; charset=utf-8").otherwise("text/plain")
+    return crawl.fetched_html(table(spark, d, "pages").withColumns({"status": status, "content_type": kind})).select("page_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'en'")
+def language_gate(spark, d):
+    return crawl.in_language(table(spark, d, "documents")).select("doc_id", "lang")
+
+
+#: Edges as links between URLs of seven domains, and where the crawl starts.
+_WEB = "CASE WHEN {0} % 10 = 0 THEN 'http://h' || ({0} % 7) || '.org/split/' || {0} ELSE 'http://h' || ({0} % 7) || '.org/' || {0} END"
+_SEEDS = (1, 2, 3)
+
+
+def _sql_crawl(waves: int) -> str:
+    out = f"WITH {SQL_EDGES}, k AS MATERIALIZED (SELECT DISTINCT {_WEB.format('src')} AS src, {_WEB.format('dst')} AS dst FROM e), p0 AS MATERIALIZED (SELECT {_WEB.format('s')} AS url, 0 AS wave FROM (VALUES {', '.join(f'({s})' for s in _SEEDS)}) v(s))"
+    for i in range(1, waves):
+        out += f", p{i} AS MATERIALIZED (SELECT * FROM p{i - 1} UNION ALL SELECT DISTINCT dst, {i} FROM k WHERE src IN (SELECT url FROM p{i - 1} WHERE wave = {i - 1}) AND dst NOT IN (SELECT url FROM p{i - 1}))"
+    score = "contains(url, 'split')::INT + contains(url, 'h3')::INT"
+    out += f", f AS (SELECT dst AS url, count(DISTINCT src) AS n FROM k WHERE src IN (SELECT url FROM p{waves - 1} WHERE wave < {waves - 1}) GROUP BY dst)"
+    out += f", r AS (SELECT url, wave, coalesce(n, 0) AS in_links, (wave - ({score}) - coalesce(n, 0) - CASE WHEN wave = 0 THEN 10000 ELSE 0 END)::BIGINT AS priority FROM p{waves - 1} LEFT JOIN f USING (url))"
+    return out + f", t AS (SELECT *, (row_number() OVER (PARTITION BY wave, regexp_extract(url, '//([^/]*)', 1) ORDER BY priority, url))::INT AS turn FROM r) SELECT *, row_number() OVER (ORDER BY wave, turn, priority, url) AS place FROM t"
+
+
+def _web_links(spark, d):
+    url = lambda c: F.concat(F.lit("http://h"), (F.col(c) % 7).cast("string"), F.lit(".org/"), F.when(F.col(c) % 10 == 0, "split/").otherwise(""), F.col(c).cast("string"))
+    seeds = spark.createDataFrame([(s,) for s in _SEEDS], "s long").select(url("s").alias("url"))
+    return edges(spark, d).select(url("src").alias("src"), url("dst").alias("dst"), F.lit("").alias("anchor")).distinct(), seeds
+
+
+@query(_sql_crawl(3))
+def crawl_waves(spark, d):
+    return crawl.crawl(*_web_links(spark, d), ["split", "h3"], waves=3)
+
+
+@query(f"FROM ({_sql_crawl(3)}) WHERE place <= 400")
+def crawl_limit(spark, d):
+    """A crawl that ends after 400 pages."""
+    return crawl.crawl(*_web_links(spark, d), ["split", "h3"], waves=3, most=400)
+
+
+@query(f"""WITH {_LINKS}, o AS (SELECT page_id, list_sort(list(DISTINCT target)) AS out_links FROM z WHERE target IS NOT NULL GROUP BY page_id)
+SELECT page_id AS doc_id, p.url, '' AS in_links, coalesce(array_to_string(out_links, ' '), '') AS out_links, coalesce(d.lang, '') AS header FROM pages p LEFT JOIN o USING (page_id) LEFT JOIN documents d ON d.doc_id = page_id""")
+def crawl_records(spark, d):
+    """Pages with their links and, for want of response headers, the language of the document of the same id."""
+    out = _links(spark, d).select("page_id", urls.resolve(F.col("url"), F.col("href")).alias("target")).groupBy(F.col("page_id").alias("doc_id")).agg(F.array_sort(F.collect_set("target")).alias("out_links"))
+    rows = crawl.records(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url"), out.withColumn("in_links", F.array().cast("array<string>")), table(spark, d, "documents").select("doc_id", F.col("lang").alias("header")))
+    return rows.select("doc_id", "url", F.array_join("in_links", " ").alias("in_links"), F.array_join("out_links", " ").alias("out_links"), "header")
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(regexp_split_to_array(lower(CASE WHEN {_TITLE} = 'No title' AND NOT regexp_matches(html, '(?i)<title') THEN '' ELSE {_TITLE} END), '\\s+'), lambda x: x <> ''), ' ') AS title, array_to_string(list_filter(list_transform(string_split(regexp_extract(html, '(?is)<meta\\s[^>]*name\\s*=\\s*[\"'']keywords[\"''][^>]*content\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1), ','), lambda x: lower(trim(x))), lambda x: x <> ''), '|') AS meta FROM pages")
+def page_keywords(spark, d):
+    return table(spark, d, "pages").select("page_id", F.array_join(urls.title_keywords(F.col("html")), " ").alias("title"), F.array_join(urls.meta_keywords(F.col("html")), "|").alias("meta"))
+
+
 @query("SELECT page_id, sha256(url) AS id, sha256(url) AS same FROM pages")
 def url_hash(spark, d):
     one = table(spark, d, "pages").select("page_id", graph.url_id(F.col("url")).alias("id"))
@@ -640,6 +713,25 @@ def ltr_rerank(spark, d):
     return learning.reranked(learning.predict(model, rows.where("split = 'test'"), list(_LTR)))
 
 
+_ONE = f"""{_BEST}, {SQL_JUDGEMENTS}, x AS MATERIALIZED (SELECT coalesce(r.query_id, j.query_id) AS query_id, coalesce(r.doc_id, j.doc_id) AS doc_id, coalesce(score, 0.0)::DOUBLE AS s, coalesce(grade, 0)::DOUBLE AS label FROM r FULL JOIN j ON r.query_id = j.query_id AND r.doc_id = j.doc_id),
+a AS (SELECT regr_slope(label, s) AS m, regr_intercept(label, s) AS b FROM x WHERE query_id IN (1, 2)), p AS (SELECT query_id, doc_id, round(b + m * s, 6) AS score FROM x, a WHERE query_id NOT IN (1, 2)), {sql_ranked("p", "o", None)} SELECT * FROM o"""
+
+
+@query(_ONE)
+def ltr_rerank_one(spark, d):
+    """One feature, so that SQL's regression functions give the same line; topics 1 and 2 train."""
+    run = _run(spark, d).select("query_id", "doc_id", F.col("score").alias("bm25_default"))
+    rows = settled(learning.joined_features(run, judgements(spark, d)))
+    model = learning.ols(rows.where("query_id IN (1, 2)"), ["bm25_default"])
+    found = learning.predict(model, rows.where("query_id NOT IN (1, 2)"), ["bm25_default"])
+    return learning.reranked(found.withColumn("predicted", F.round("predicted", 6)))
+
+
+@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < 0.8 * count(*) OVER () THEN 'train' ELSE 'test' END AS split FROM documents")
+def place_split(spark, d):
+    return split_by_place(table(spark, d, "documents").select("doc_id"), ["doc_id"])
+
+
 @query("SELECT query_id, CASE WHEN row_number() OVER (ORDER BY md5('42' || query_id), query_id) <= 2 THEN 'test' ELSE 'train' END AS split FROM (VALUES (1), (2), (3), (4)) v(query_id)")
 def query_split(spark, d):
     return learning.query_split(terms(spark), 2)
@@ -655,6 +747,21 @@ def spam_presence(spark, d):
     return learning.word_features(mails(spark, d), list(FEATURES))
 
 
+@query(f"WITH {SQL_MAILS} SELECT doc_id, {', '.join(f"list_contains(tokens, '{w}')::INT AS f_{w}" for w in dict.fromkeys(learning.SPAM_WORDS))} FROM m")
+def spam_word_list(spark, d):
+    """The fixed list of spam words."""
+    return learning.word_features(mails(spark, d))
+
+
+@query()
+def spam_coefficients(spark, d):
+    """The ten words of largest weight in the logistic model."""
+    m = mails(spark, d).where("split = 'train'")
+    words = learning.vectoriser(m)
+    model = learning.classifier("logistic", m.count()).fit(words.transform(m))
+    return spark.createDataFrame(learning.coefficients(model, words.vocabulary), "word string, weight double")
+
+
 @query(f"WITH {SQL_MAILS} SELECT doc_id, {', '.join(f"len(list_filter(tokens, lambda x: x = '{w}'))::INT AS f_{w}" for w in FEATURES)} FROM m")
 def spam_counts(spark, d):
     return learning.word_features(mails(spark, d), list(FEATURES), counts=True)
@@ -723,3 +830,6 @@ for _k in ("tree", "logistic"):
 def _event_windows(spark, d):
     rows = event_windows(table(spark, d, "events"))
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from quarry.plans import round_trips  # noqa: E402, F401  registers more queries

@@ -41,7 +41,7 @@ def documents(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", bloc
 
 def crawled(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, url, title, text) of crawl files: DOCNO holds the URL, HEAD the title; doc_id is the URL's SHA-256."""
-    files = spark.read.text(path, wholetext=True)
+    files = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<DOC>(.*?)</DOC>"), F.lit(1))).alias("value"))
     part = lambda tag: F.trim(F.regexp_extract("value", rf"(?s)<{tag}>(.*?)</{tag}>", 1))
     return files.select(part("DOCNO").alias("url"), part("HEAD").alias("title"), part("TEXT").alias("text")).where("url <> ''").select(F.sha2("url", 256).alias("doc_id"), "url", "title", "text")
 
@@ -64,18 +64,38 @@ def topics(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).where(number != "").select(number.cast("int").alias("query_id"), F.trim(text).alias("text"))
 
 
-def judgements(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, doc_id, grade) from four-field lines; of repeated pairs the last stays; other lines are passed over."""
-    p = F.split(F.trim("value"), r"\s+")
-    rows = _numbered(_lines(spark, path)).where(F.size(p) == 4).select(p[0].alias("query_id"), p[2].alias("doc_id"), p[3].try_cast("int").alias("grade"), "line").where("grade is not null")
-    return rows.groupBy("query_id", "doc_id").agg(F.max_by("grade", "line").alias("grade"))
+def _fields(spark: SparkSession, path: str, size: int, across_lines: bool) -> DataFrame:
+    """(p, at): fields between white space in groups of ``size``, and when they were written (file time, file, order).
 
+    Groups are lines of so many fields, or with ``across_lines`` every ``size`` fields of a whole file, wherever its lines
+    end; what is left at its end is passed over.
+    """
+    if not across_lines:
+        lines = _numbered(spark.read.text(path).select("value", "_metadata.file_modification_time", "_metadata.file_path"))
+        rows = lines.select(F.split(F.trim("value"), r"\s+").alias("p"), F.struct("file_modification_time", "file_path", "line").alias("at"))
+        return rows.where(F.size("p") == size)
+    files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_modification_time", "_metadata.file_path")
+    words = F.filter(F.split("value", r"\s+"), lambda x: x != "")
+    n = F.floor(F.size("w") / size).cast("int")
+    groups = files.withColumn("w", words).where(F.size("w") >= size).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("line"))
+    return groups.select(F.slice("w", F.col("line") * size + 1, size).alias("p"), F.struct("file_modification_time", "file_path", "line").alias("at"))
 
-def run(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, doc_id, rank, score, tag) from six-field lines; of repeated pairs the last stays."""
-    p = F.split(F.trim("value"), r"\s+")
-    rows = _numbered(_lines(spark, path)).where(F.size(p) == 6).select(p[0].alias("query_id"), p[2].alias("doc_id"), F.struct(p[3].try_cast("int").alias("rank"), p[4].try_cast("double").alias("score"), p[5].alias("tag")).alias("x"), "line")
-    return rows.groupBy("query_id", "doc_id").agg(F.max_by("x", "line").alias("x")).select("query_id", "doc_id", "x.*")
+
+def judgements(spark: SparkSession, path: str, across_lines: bool = False) -> DataFrame:
+    """(query_id, doc_id, grade) from groups of four fields; of repeated pairs the last by file time and place stays.
+
+    Lines of another form are passed over; ``across_lines``: see ``_fields``.
+    """
+    p = F.col("p")
+    rows = _fields(spark, path, 4, across_lines).select(p[0].alias("query_id"), p[2].alias("doc_id"), p[3].try_cast("int").alias("grade"), "at").where("grade is not null")
+    return rows.groupBy("query_id", "doc_id").agg(F.max_by("grade", "at").alias("grade"))
+
+
+def run(spark: SparkSession, path: str, across_lines: bool = False) -> DataFrame:
+    """(query_id, doc_id, rank, score, tag) from groups of six fields; of repeated pairs the last stays, as for judgements."""
+    p = F.col("p")
+    rows = _fields(spark, path, 6, across_lines).select(p[0].alias("query_id"), p[2].alias("doc_id"), F.struct(p[3].try_cast("int").alias("rank"), p[4].try_cast("double").alias("score"), p[5].alias("tag")).alias("x"), "at")
+    return rows.groupBy("query_id", "doc_id").agg(F.max_by("x", "at").alias("x")).select("query_id", "doc_id", "x.*")
 
 
 def adjacency(spark: SparkSession, path: str) -> DataFrame:
@@ -127,6 +147,25 @@ def mails(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataF
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), clean_mail(body("content")).alias("text"))
 
 
+def mail_id(file: Column) -> Column:
+    """A mail's id: its file name without the first seven characters (``inmail.``)."""
+    return F.substring(file, 8, 1 << 30)
+
+
+def index_text(spark: SparkSession, path: str) -> DataFrame:
+    """(term, df, cf, postings) from ``term: {json}`` lines, plain or compressed."""
+    kind = "DF long, CF long, Postings array<struct<doc_id: long, tf: int, pos: array<int>>>"
+    body = F.from_json(F.regexp_extract("value", r"^.*?: (\{.*\})$", 1), kind)
+    rows = _lines(spark, path).select(F.regexp_extract("value", r"^(.*?): \{", 1).alias("term"), body.alias("x"))
+    return rows.select("term", F.col("x.DF").alias("df"), F.col("x.CF").alias("cf"), F.col("x.Postings").alias("postings"))
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, header) from ``id<tab>header`` lines."""
+    p = F.split("value", "\t", 2)
+    return _lines(spark, path).where(F.size(p) == 2).select(p[0].alias("doc_id"), p[1].alias("header"))
+
+
 def json_records(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """JSON lines; with a schema nothing is inferred."""
     return (spark.read.schema(schema) if schema else spark.read).json(path)
@@ -145,6 +184,19 @@ def split_by_hash(key: Column, share: float = 0.8, seed: str = "") -> Column:
     return F.when(h < F.lit(int(share * 2**32)), "train").otherwise("test")
 
 
+def split_by_place(rows: DataFrame, order: list[str], share: float = 0.8) -> DataFrame:
+    """``rows`` with split: "train" for the first ``share`` of them in the given order, which tells all rows apart.
+
+    Rows are numbered in ranges, so no task sorts them all.
+    """
+    from quarry.operators.index import dense_ids
+
+    numbered = dense_ids(rows, order, "__at")
+    n = F.broadcast(rows.agg(F.count("*").alias("__all")))  # one row
+    split = F.when(F.col("__at") - 1 < F.lit(share) * F.col("__all"), "train").otherwise("test")
+    return numbered.crossJoin(n).withColumn("split", split).drop("__at", "__all")
+
+
 def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])

@@ -10,10 +10,14 @@ def run_line(query_id: Column, doc_id: Column, rank: Column, score: Column, tag:
     return F.concat_ws(" ", query_id.cast("string"), F.lit("Q0"), doc_id.cast("string"), rank.cast("string"), score.cast("string"), F.lit(tag))
 
 
-def write_run(ranked: DataFrame, path: str, most: int = 1000, tag: str = "Exp", mode: str = "overwrite") -> None:
-    """Six-field lines of ranks up to ``most``, sorted by query and rank within each file."""
+def write_run(ranked: DataFrame, path: str, most: int = 1000, tag: str = "Exp", mode: str = "overwrite", constant_rank: bool = False) -> None:
+    """Six-field lines of ranks up to ``most``, sorted by query and rank within each file.
+
+    ``constant_rank``: every line says rank 1, for evaluators that go by the score.
+    """
     rows = ranked.where(F.col("rank") <= most).repartitionByRange("query_id", "rank").sortWithinPartitions("query_id", "rank")
-    rows.select(run_line(F.col("query_id"), F.col("doc_id"), F.col("rank"), F.col("score"), tag)).write.mode(mode).text(path)
+    rank = F.lit(1) if constant_rank else F.col("rank")
+    rows.select(run_line(F.col("query_id"), F.col("doc_id"), rank, F.col("score"), tag)).write.mode(mode).text(path)
 
 
 def append_judgements(rows: DataFrame, path: str, assessor: str = "assessor") -> None:
@@ -37,6 +41,22 @@ def write_crawled(pages: DataFrame, path: str) -> None:
     pages.select(F.concat(F.lit("<DOC>\n"), tag("DOCNO", "url"), tag("HEAD", "title"), tag("TEXT", "text"), F.lit("</DOC>"))).write.mode("overwrite").text(path)
 
 
+def write_news(documents: DataFrame, path: str, blocks: list[str]) -> None:
+    """SGML records of doc_id with one text block for each of the named columns."""
+    texts = [F.concat(F.lit("<TEXT>\n"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n</TEXT>\n")) for c in blocks]
+    documents.select(F.concat(F.lit("<DOC>\n<DOCNO> "), F.col("doc_id").cast("string"), F.lit(" </DOCNO>\n"), *texts, F.lit("</DOC>"))).write.mode("overwrite").text(path)
+
+
+def write_headers(rows: DataFrame, path: str) -> None:
+    """``id<tab>header`` lines; line breaks in a header become spaces."""
+    rows.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.regexp_replace("header", r"[\r\n]+", " "))).write.mode("overwrite").text(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """JSON lines, as ``json_records`` reads them; nulls are left out."""
+    rows.write.mode("overwrite").json(path)
+
+
 def graph_line(page: Column, rank: Column, n_out: Column, n_in: Column, width: int = 40) -> Column:
     """Fixed-width report line: page, score with 16 decimals, numbers of out- and in-links."""
     fixed = lambda c, n: F.rpad(c.cast("string"), n, " ")
@@ -71,10 +91,18 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     rows.orderBy(F.desc("probability"), "id").select("id", F.format_string("%.5f", F.col("probability")).alias("probability")).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_documents(rows: DataFrame, path: str, key: str | None = None) -> None:
-    """Drop and recreate a table of documents; with ``key`` a row's id is that column's SHA-256."""
+def write_documents(rows: DataFrame, path: str, key: str | None = None, required: list[str] = ()) -> tuple[int, int]:
+    """Drop and recreate a table of documents; returns how many rows were written and how many not.
+
+    With ``key`` a row's id is that column's SHA-256. Rows that lack a ``required`` column are not written.
+    """
     out = rows.withColumn("_id", F.sha2(F.col(key).cast("string"), 256)) if key else rows
-    out.write.mode("overwrite").parquet(path)
+    whole = F.lit(True)
+    for c in required:
+        whole = whole & F.col(c).isNotNull()
+    out.where(whole).write.mode("overwrite").parquet(path)
+    done = rows.sparkSession.read.schema(out.schema).parquet(path).count()
+    return done, rows.count() - done
 
 
 def folder_size(spark, path: str) -> tuple[int, float]:

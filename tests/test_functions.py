@@ -50,6 +50,11 @@ def test_resolve(spark, link, want):
     assert one(spark, urls.resolve(F.col("b"), F.col("l")), b="http://h/a/b?x", l=link) == want
 
 
+@pytest.mark.parametrize("link,want", [("../../../../../x", "http://h/x"), ("../" * 10 + "x", "http://h/x"), ("../../x/./y/../z?a=../b#../c", "http://h/a/b/c/x/z?a=../b#../c"), ("..", "http://h/a/b/c/d/"), (".", "http://h/a/b/c/d/e/"), ("../..", "http://h/a/b/c/"), ("f.g/..h/...", "http://h/a/b/c/d/e/f.g/..h/...")])
+def test_dot_segments(spark, link, want):
+    assert one(spark, urls.resolve(F.col("b"), F.col("l")), b="http://h/a/b/c/d/e/", l=link) == want
+
+
 def test_html(spark):
     page = "<html><head><title> A &amp; B </title><script>x<y</script></head><body><header>h</header><p>One  two\n three</p><a class=k href='/u'>L<b>1</b></a></body></html>"
     assert one(spark, urls.title(F.col("h")), h=page) == "A & B"

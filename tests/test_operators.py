@@ -3,7 +3,7 @@ from math import isclose, log
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import evaluation, expansion, graph, index, learning, scoring, search
+from quarry.operators import crawl, evaluation, expansion, graph, index, learning, scoring, search
 from quarry.streaming import increments
 
 DOCS = [(1, "apple banana apple"), (2, "banana cherry"), (3, "cherry cherry date banana apple"), (4, ""), (5, None)]
@@ -36,6 +36,45 @@ def test_index(spark):
     assert [(x.doc_id, x.tf) for x in back[("cherry",)].postings] == [(2, 1), (3, 2)]
 
 
+def test_stored_index(spark, tmp_path, monkeypatch):
+    """A stored index scores as the documents do, by literals and by joins; a lookup opens the asked directories only."""
+    c, q = corpus(spark), asked(spark, "apple apple date", "banana zebra")
+    index.write_index(c, str(tmp_path / "i"), 4)
+    stored = index.read_index(spark, str(tmp_path / "i"))
+    assert stored.statistics().first().asDict() == index.corpus_statistics(c).first().asDict()
+    for literals in (index.LITERALS, 0):
+        monkeypatch.setattr(index, "LITERALS", literals)
+        for model in scoring.MODELS:
+            rows = [{(r.query_id, r.doc_id): round(r.score, 9) for r in scoring.scores(x, q, model).collect()} for x in (c, stored)]
+            assert rows[0] == rows[1]
+        assert stored.vocabulary().count() == 4 and stored.documents(spark.createDataFrame([(3,), (9,)], "doc_id long")).count() == 1
+        assert [r.term for r in expansion.feedback_terms(stored, q, 10, 2).orderBy("query_id", "rank").collect()] == [r.term for r in expansion.feedback_terms(c, q, 10, 2).orderBy("query_id", "rank").collect()]
+        assert expansion.significant_terms(stored, q, min_docs=1).exceptAll(expansion.significant_terms(c, q, min_docs=1)).count() == 0
+    monkeypatch.setattr(index, "LITERALS", 1000)
+    plan = stored.postings(q.where("term = 'date'"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,date)" in plan
+    assert index.read_index(spark, str(tmp_path / "i")).buckets == 4
+    index.write_index(c.limit(0), str(tmp_path / "e"))
+    assert scoring.scores(index.read_index(spark, str(tmp_path / "e")), q, "bm25").count() == 0
+
+
+def test_crawl(spark):
+    links = spark.createDataFrame([("http://a/1", "http://a/2", ""), ("http://a/1", "http://b/3", "War"), ("http://a/2", "http://b/3", ""), ("http://b/3", "http://a/1", ""), ("http://b/3", "http://b/4", "")], "src string, dst string, anchor string")
+    seeds = spark.createDataFrame([("http://a/1",), ("http://a/1",)], "url string")
+    got = {r.url[7:]: (r.wave, r.in_links, r.priority, r.turn, r.place) for r in crawl.crawl(links, seeds, ["war"], waves=3).collect()}
+    assert got == {"a/1": (0, 1, -10001, 1, 1), "b/3": (1, 2, -2, 1, 2), "a/2": (1, 1, 0, 1, 3), "b/4": (2, 1, 1, 1, 4)}
+    assert crawl.crawl(links, seeds, [], waves=3, most=2).count() == 2 and crawl.crawl(links, seeds.limit(0), [], waves=2).count() == 0
+    rows = spark.createDataFrame([("HTTP://A/1",), ("https://c/9",), (None,)], "url string")
+    assert sorted(str(r.url) for r in crawl.unvisited(rows.withColumn("url", F.lower("url")), seeds).collect()) == ["None", "https://c/9"]
+    assert [r.x for r in spark.createDataFrame([("http://1234/",), ("http://a1/",), ("x",), (None,)], "u string").select(crawl.has_named_host(F.col("u")).alias("x")).collect()] == [False, True, False, False]
+    replies = spark.createDataFrame([(200, "text/html"), (200, None), (404, "text/html"), (None, "text/html"), (200, "text/plain")], "status int, content_type string")
+    assert crawl.fetched_html(replies).count() == 1
+    docs = spark.createDataFrame([(1, "en"), (2, None)], "doc_id int, lang string")
+    assert crawl.in_language(docs).count() == 1
+    both = crawl.records(docs, spark.createDataFrame([(1, ["a"], None)], "doc_id int, in_links array<string>, out_links array<string>"), spark.createDataFrame([(2, "h")], "doc_id int, header string"))
+    assert [tuple(r) for r in both.orderBy("doc_id").collect()] == [(1, "en", ["a"], [], ""), (2, None, [], [], "h")]
+
+
 def test_scores(spark):
     c = corpus(spark)
     q = asked(spark, "apple apple date", "zebra")

@@ -5,11 +5,8 @@ import pytest
 
 from quarry.plans.queries import ORACLE_SQL, QUERIES
 
-TABLES = "documents labels pages lineitem events".split()
-CHOSEN = """tokenize_words tokenize_news stopword_filter term_positions df_cf term_ids codec_round_trip vbyte_size score_bm25 score_bm25_penalised
-score_lm_laplace two_stage_rescore proximity_pairs proximity_min multi_match_best_fields autocomplete prf_basic_terms prf_significant_terms pagerank_sinks
-hits_k11 base_set extract_links frontier_priority html_text url_keywords eval_summary eval_classic ltr_features nb_multinomial classification_report roc_auc
-event_windows""".split()
+TABLES = "documents labels pages lineitem events benchmark".split()
+CHOSEN = sorted(ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
