@@ -209,7 +209,7 @@ def write_index(tokenised_: DataFrame, path: str, buckets: int = BUCKETS) -> Non
 
 def _part(built: Index, path: str, name: str) -> DataFrame:
     """Postings or vocabulary with their schema as computed, as a folder of no rows does not tell it."""
-    schema = getattr(built, name)().schema.add("bucket", "int")
+    schema = getattr(built, name)().schema.add("bucket", "integer")
     return built.forward.sparkSession.read.schema(schema).parquet(f"{path}/{name}")
 
 
