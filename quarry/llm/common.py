@@ -1,37 +1,16 @@
-"""What the operators share: the scratch folder, stored intermediate tables, word rules, held-out folds."""
+"""What the operators share: stored intermediate tables, word rules, held-out folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.lineage import new_folder
+
 #: A word is a run of characters outside space and \t..\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder is made and set, but only for a driver whose executor threads
-    live in its own process; a cluster without the setting is an error, as its nodes share no local disk.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, so its lineage ends there."""
     spark = df.sparkSession
