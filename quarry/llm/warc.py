@@ -38,7 +38,8 @@ def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, key: str = "pa
     digest with partial sums and met again by a join, so a payload that a third of the pages share is no group of rows.
     Only pages whose digest falls into a bucket with a repeated digest take part in that join; the buckets are a table of
     bounded size, so it is broadcast, and the other payloads are not shuffled.
-    Rows that repeat the largest key are responses all of them; pages with a null key are responses.
+    Rows that repeat the largest key are responses all of them; pages with a null key are responses. Other columns of
+    ``pages`` are left out, whatever their names. Empty table: no rows.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(uri).cast("string"), F.lit("")).alias("uri"), body.alias("payload"))

@@ -32,6 +32,13 @@ def test_odd_tables(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
 
+def test_run_on_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert out.count() == 0 and out.columns == ["shard", "doc_id", "tier", "shard_rows", "shard_bytes"]
+
+
 def test_whole(spark, small):
     """The result's doc_ids are the mix of what toxicity, near-duplicates (five words, Jaccard 0.8) and decontamination leave."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
