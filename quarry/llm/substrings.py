@@ -16,23 +16,36 @@ from quarry.llm.common import stored, table
 WINDOW, PHRASE = 35, 8
 #: Bytes of text in one shard of documents, which one task holds together with its automaton.
 SHARD_BYTES = 8 << 20
-_CHUNK_WORDS = 100_000
+_CHUNK_CHARACTERS = 600_000
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_MEMO = 200_000
+#: Words of more bytes are hashed one by one.
+_LONG = 1024
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
-class _Hashes(dict):
-    """XXH64 of words, remembered."""
+def _stirred(x: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 64 bits: xor-shifts and products."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        h = self[word] = xxhash.xxh64_intdigest(word, 20)
-        return h
+def word_hashes(b: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits for every word, eight bytes of all words at a time. ``b`` has eight more bytes after the last word."""
+    import xxhash
 
-
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()
+    eights = np.ndarray((len(b) - 7,), dtype="<u8", buffer=b, strides=(1,))
+    h = _stirred(sizes.astype(np.uint64))
+    live = np.flatnonzero(sizes <= _LONG)
+    at, left = begins[live], sizes[live]
+    while len(live):
+        h[live] = _stirred(h[live] ^ (eights[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > _LONG):
+        h[i] = xxhash.xxh64_intdigest(b[begins[i] : begins[i] + sizes[i]].tobytes(), 20)
+    return h
 
 
 def runs(h: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
@@ -68,18 +81,32 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Chunk:
-    """Word hashes of some neighbouring documents; windows lie inside one document."""
-
-    def __init__(self, words: list[list[bytes]], memo: _Hashes):
-        if len(memo) > _MEMO:
-            memo.clear()
-        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-        n = int(self.starts[-1])
-        self.h = np.fromiter((memo[w] for d in words for w in d), dtype=np.uint64, count=n)
-        self.doc = np.repeat(np.arange(len(words)), self.sizes)
+    """Words of some neighbouring documents: their bytes, a space after each, and their hashes. Windows lie inside one document."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        b = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+        blank = (b == 32) | ((b >= 9) & (b <= 13))
+        last = np.concatenate(([False], ~blank[:-1])) & blank  # the blank after each word
+        keep = last | ~blank
+        self.bytes = np.concatenate((b[keep], np.zeros(8, dtype=np.uint8)))
+        self.bytes[:-8][last[keep]] = 32
+        bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
+        self.starts = np.searchsorted(np.flatnonzero(last), bounds)
+        self.sizes = np.diff(self.starts)
+        self.at = np.concatenate(([0], np.flatnonzero(last[keep]) + 1))
+        self.h = word_hashes(self.bytes, self.at[:-1], np.diff(self.at) - 1)
+        n = len(self.h)
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.inside = self.doc[: n - WINDOW + 1] == self.doc[WINDOW - 1 :] if n >= WINDOW else np.empty(0, dtype=bool)
 
+    def words(self, a: int, b: int, gone: np.ndarray | None = None) -> bytes:
+        """Words a to b - 1 that are not ``gone``, joined by one space."""
+        part = self.bytes[self.at[a] : self.at[b]]
+        if gone is not None:
+            part = part[np.repeat(~gone, np.diff(self.at[a : b + 1]))]
+        return part[:-1].tobytes()
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes) of the phrases that are the anchor of a window."""
         if not self.inside.any():
@@ -127,27 +154,25 @@ def _among(w: np.ndarray, x: np.ndarray, known: Windows) -> np.ndarray:
     return found
 
 
-def _chunks(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
+def _chunks(texts: Iterator[str | None]) -> Iterator[Chunk]:
     part, size = [], 0
     for t in texts:
-        part.append(split(t))
-        size += len(part[-1])
-        if size >= _CHUNK_WORDS:
-            yield part
+        part.append(t)
+        size += len(t or "") + 1
+        if size >= _CHUNK_CHARACTERS:
+            yield Chunk(part)
             part, size = [], 0
     if part:
-        yield part
+        yield Chunk(part)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = _Hashes()
     for b in batches:
         shards, at = b.column("shard").to_numpy(), 0
-        for words in _chunks(x.as_py() for x in b.column("text")):
-            c = Chunk(words, memo)
+        for c in _chunks(x.as_py() for x in b.column("text")):
             places, hashes = c.anchors()
-            own = shards[at : at + len(words)][c.doc[places]]
-            at += len(words)
+            own = shards[at : at + len(c.sizes)][c.doc[places]]
+            at += len(c.sizes)
             if len(hashes):
                 order = np.lexsort((own, hashes))
                 h, own = hashes[order], own[order]
@@ -176,18 +201,18 @@ def _repeated(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int32()), *(pa.array(np.array([k])) for k in held[0])], names=["shard", *key])
 
 
-def _phrase(words: list[bytes], at: int) -> str:
-    return " " + b" ".join(words[at : at + PHRASE]).decode("utf-8", "surrogatepass") + " "
+def _spaced(words: bytes) -> bytes:
+    return b" " + words + b" "
 
 
-def _hits(automaton, words: list[bytes]) -> np.ndarray:
+def _hits(automaton, words: bytes) -> np.ndarray:
     """Places of all phrases of the automaton in one document."""
-    text = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-    ends = np.fromiter((e for e, _ in automaton.iter(text)), dtype=np.int64)
+    text = _spaced(words)
+    ends = np.fromiter((e for e, _ in automaton.iter(text.decode("utf-8", "surrogatepass"))), dtype=np.int64)
     if not len(ends):
         return ends
-    sizes = map(len, words) if text.isascii() else (len(w.decode("utf-8", "surrogatepass")) for w in words)
-    stops = np.cumsum(np.fromiter(sizes, dtype=np.int64, count=len(words)) + 1)
+    b = np.frombuffer(text, dtype=np.uint8)
+    stops = np.flatnonzero(b[(b & 0xC0) != 0x80] == 32)[1:]  # in characters; bytes 10xxxxxx continue one
     return np.searchsorted(stops, ends) - PHRASE + 1
 
 
@@ -199,27 +224,25 @@ def _candidates(docs: pa.Table, known: pa.Table) -> pa.Table:
     import ahocorasick
 
     recurring = np.sort(known.column("h").to_numpy().view(np.uint64)) if len(known) else np.empty(0, dtype=np.uint64)
-    memo, phrases, chunks = _Hashes(), set(), []
-    for words in _chunks(x.as_py() for x in docs.column("text")):
-        c, may = Chunk(words, memo), None
+    phrases, chunks = set(), []
+    for c in _chunks(x.as_py() for x in docs.column("text")):
+        may = None
         if len(recurring):
             places, hashes = c.anchors()
             again = recurring[np.minimum(np.searchsorted(recurring, hashes), len(recurring) - 1)] == hashes
-            for p in places[again]:
-                d = int(c.doc[p])
-                phrases.add(_phrase(words[d], int(p - c.starts[d])))
+            phrases.update(c.words(p, p + PHRASE) for p in places[again])
             may = c.anchored(places[again], hashes[again])
-        chunks.append((words, c, may))
+        chunks.append((c, may))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in phrases:
-        automaton.add_word(p)
+        automaton.add_word(_spaced(p).decode("utf-8", "surrogatepass"))
     if phrases:
         automaton.make_automaton()
     sizes, whole, digests, found = [], [], [], [(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint32))]
-    for words, c, may in chunks:
+    for c, may in chunks:
         w, x = windows_of(c.h) if phrases else (None, None)
-        for d, own in enumerate(words):
-            n, s, some = len(own), int(c.starts[d]), False
+        for n, s in zip(c.sizes.tolist(), c.starts.tolist()):
+            own, some = c.words(s, s + n), False
             if phrases and n >= WINDOW and may[s : s + n - WINDOW + 1].any():
                 hits = _hits(automaton, own)
                 edge, last = np.zeros(n - WINDOW + 2, dtype=np.int64), n - WINDOW
@@ -230,7 +253,7 @@ def _candidates(docs: pa.Table, known: pa.Table) -> pa.Table:
                 found.append((w[at], x[at]))
             sizes.append(n)
             whole.append(some)
-            digests.append(None if some else hashlib.sha256(b" ".join(own)).hexdigest())
+            digests.append(None if some else hashlib.sha256(own).hexdigest())
     del chunks
     (w, x), counts = _distinct(*(np.concatenate(part) for part in zip(*found)))
     shard = (docs if len(docs) else known).column("shard")[0].as_py()
@@ -262,19 +285,17 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _removed(docs: pa.Table, known: pa.Table) -> pa.Table:
     """One shard: the words covered by its recurring windows, as ranges, and what is left of each document."""
     recurring, _ = _distinct(known.column("w").to_numpy().view(np.uint64), known.column("x").to_numpy().view(np.uint32)) if len(known) else ((np.empty(0, dtype=np.uint64),) * 2, None)
-    memo, removed, digests, spans = _Hashes(), [], [], []
-    for words in _chunks(x.as_py() for x in docs.column("text")):
-        c = Chunk(words, memo)
+    removed, digests, spans = [], [], []
+    for c in _chunks(x.as_py() for x in docs.column("text")):
         again = _among(*windows_of(c.h), recurring)
-        for d, own in enumerate(words):
-            s, n = int(c.starts[d]), len(own)
+        for n, s in zip(c.sizes.tolist(), c.starts.tolist()):
             starts = np.flatnonzero(again[s : s + max(0, n - WINDOW + 1)])
             edge = np.zeros(n + 1, dtype=np.int64)
             edge[starts] += 1
             edge[starts + WINDOW] -= 1
             gone = np.cumsum(edge)[:n] > 0
             removed.append(int(gone.sum()))
-            digests.append(hashlib.sha256(b" ".join(w for w, g in zip(own, gone.tolist()) if not g)).hexdigest())
+            digests.append(hashlib.sha256(c.words(s, s + n, gone)).hexdigest())
             turn = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
             spans.append([{"start": int(a), "end": int(b)} for a, b in turn.reshape(-1, 2)])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
