@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 from collections.abc import Iterator
 
@@ -106,7 +107,7 @@ def scan(file, wanted: dict[str, set], payloads: bool, chunk: int = 1 << 20) ->
     """(headers, payload) of the records of an open file whose headers agree with ``wanted`` (name -> allowed values).
 
     The header block is read and parsed first. A payload that nobody asks for is passed over by a seek, or by dropping
-    buffered bytes, and is neither copied nor decoded.
+    buffered bytes, and is neither copied nor decoded; in a gzip archive the seek has to inflate it.
     """
     buffer, at = b"", 0
     while True:
@@ -159,6 +160,13 @@ def open_any(uri: str):
     return store.open_input_file(path)
 
 
+def archive(file):
+    """What to read an open file's records from: gzip archives (of one member or many, known by their first bytes) are inflated as they are read."""
+    zipped = file.read(2) == b"\x1f\x8b"
+    file.seek(0)
+    return gzip.GzipFile(fileobj=file) if zipped else file
+
+
 class _Files(InputPartition):
     def __init__(self, files: list[str]):
         self.files = files
@@ -202,7 +210,7 @@ class WarcReader(DataSourceReader):
         makers = [get[c] for c in self.columns]
         for uri in partition.files:
             with open_any(uri) as file:
-                for head, payload in scan(file, self.wanted, "payload" in self.columns):
+                for head, payload in scan(archive(file), self.wanted, "payload" in self.columns):
                     yield tuple(f(head, payload) for f in makers)
 
 
@@ -227,7 +235,7 @@ class WarcSource(DataSource):
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None, bytes_per_partition: int = BYTES_PER_PARTITION) -> DataFrame:
-    """The records of all WARC files under ``path``. ``columns``: the fields to build (all by default).
+    """The records of all WARC files under ``path``, plain or gzip. ``columns``: the fields to build (all by default).
 
     Without "payload" among them no payload is read. Filters on record_type, record_id, target_uri and refers_to are
     decided on the headers. Files are listed by Spark's file system layer; folders without records give no rows.

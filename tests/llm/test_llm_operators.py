@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables, and its odd rows: nulls, empty, long, repeated, clashing columns."""
 
+import gzip
 import hashlib
 import re
 import tracemalloc
@@ -260,6 +261,14 @@ def test_warc(spark, small, tmp_path):
     assert sorted(x for part in reader.partitions() for x in reader.read(part)) == [("revisit", b""), ("revisit", b"")]  # decided on headers
     only = warc.read(spark, str(tmp_path / "w"), ["record_type", "target_uri"]).where("record_type = 'revisit'")
     assert only.count() == 2 and "EqualTo" not in only._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]
+    (tmp_path / "z").mkdir()
+    for i, f in enumerate((tmp_path / "w").glob("*.txt")):  # a member a record, as archives have it, and one member for a file
+        b = f.read_bytes()
+        starts = [x.start() for x in re.finditer(rb"WARC/1.1\r\nWARC-Type", b)] + [len(b)]
+        parts = [b] if i % 2 else [b[x:y] for x, y in zip(starts, starts[1:])]
+        (tmp_path / "z" / f"{i}.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    plain, zipped = (counted(warc.read(spark, str(tmp_path / x)).select("record_id", "record_type", "payload")) for x in "wz")
+    assert zipped == plain and warc.read(spark, str(tmp_path / "z"), ["record_type"]).where("record_type = 'revisit'").count() == 2
     warc.write(warc.records(pages.limit(0)), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
 
