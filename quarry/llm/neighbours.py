@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, table
@@ -186,10 +186,9 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = K, n_centroids: i
     if d == 1:  # a second half of zeros
         zero, d = F.concat(zero, F.array(F.lit(0.0))), 2
     plain = lambda df: one_vector(df.where(F.size("v") == size["d"]).select("vec_id", zero.alias("v")))
-    some = F.pmod(F.xxhash64("vec_id"), F.lit(256))
-    ids = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
-    parts = plain(rows).groupBy("v", some.alias("s")).agg(ids(F.collect_list("vec_id")).alias("ids"))
-    distinct = stored(parts.groupBy("v").agg(ids(F.flatten(F.collect_list("ids"))).alias("ids")), "vectors")
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    least = plain(rows).withColumn("place", place).where(F.col("place") <= k + 1)  # a group limit: k + 1 rows of a vector leave a task
+    distinct = stored(least.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors")
     sample = distinct.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(fit_rows).select("v").toPandas()
     x = _matrix(sample["v"])
     left, right = centroids(x[:, : d // 2], n_centroids), centroids(x[:, d // 2 :], n_centroids)
