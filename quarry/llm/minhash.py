@@ -1,6 +1,6 @@
-"""Near-duplicates by Jaccard similarity: MinHash bands give the candidates, the texts' shingle sets decide.
+"""Near-duplicates by Jaccard similarity: SimHash links give the candidates, the texts' shingle sets decide.
 
-The pipeline's near-duplicate stage: 64-bit SimHash cannot find pairs of five-word similarity 0.8 (see the README).
+The pipeline's near-duplicate stage, with wide fingerprints (see the README). No MinHash is left here but the module's name.
 """
 
 from __future__ import annotations
@@ -15,23 +15,18 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stored, whole_rows
 from quarry.llm.components import components
+from quarry.llm.simhash import wide_fingerprint, wide_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SEED = 42
-#: Two sets of similarity 0.8 agree in a band of five with 0.8 ** 5 = 0.33, and so in one of 25 bands at least with 0.99995.
-BANDS, ROWS = 25, 5
-#: All pairs are candidates under a band value of up to so many texts; larger crowds are compared in blocks.
+#: All pairs are candidates in a group of linked fingerprints of up to so many texts; larger crowds are compared in blocks.
 CROWD = 32
 #: Shingles in a block of a crowd, which one task holds.
 BLOCK = 1 << 18
 #: Texts are preselected by so many buckets of their hash, which bounds the broadcast.
 BUCKETS = 1 << 20
 
-_RNG = np.random.default_rng(SEED)
-_MULTIPLY = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-
 
 def words(text: str | None) -> list[bytes]:
     """As in SimHash: only A-Z change case, only ASCII space splits."""
@@ -52,20 +47,14 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.sort(_hashes(words(text), shingle).astype(np.int64))
 
 
-def signature(text: str | None, shingle: int = SHINGLE) -> tuple[int, int, np.ndarray]:
-    """(id of the word sequence, number of shingles, hash of each band) of a whole text."""
+def signature(text: str | None, shingle: int = SHINGLE) -> tuple[int, int, bytes]:
+    """(id of the word sequence, number of shingles, wide fingerprint; none without words) of a whole text."""
     import xxhash
 
     w = words(text)
     id_ = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(w), SEED)).astype(np.int64))
     h = _hashes(w, shingle)
-    if not len(h):
-        return id_, 0, np.zeros(0, dtype=np.int64)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(h), 1024):
-        low = np.minimum(low, (h[i : i + 1024, None] * _MULTIPLY + _ADD).min(axis=0))
-    bands = [xxhash.xxh64_intdigest(bytes([i]) + x.tobytes(), SEED) for i, x in enumerate(low.reshape(BANDS, ROWS))]
-    return id_, len(h), np.array(bands, dtype=np.uint64).astype(np.int64)
+    return id_, len(h), wide_fingerprint(h) if len(h) else b""
 
 
 class Block:
@@ -124,10 +113,10 @@ def _crowd_links(members: DataFrame, roots: DataFrame, similarity: float) -> Dat
     known by their roots, and a batch gives one link for every two groups that it joins.
     """
     members = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    members = stored(members, "minhash-members")
+    members = stored(members, "near-members")
     largest = members.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max(F.struct("c", "root")).alias("most"))
     rest = members.join(largest, "band").where("root <> most.root").select("band", "id", "n", "blocks", "root", "set")
-    dealt = stored(rest.groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("batches")), "minhash-batches")
+    dealt = stored(rest.groupBy("band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("batches")), "near-batches")
     asked = rest.join(dealt, "band").withColumn("batch", F.pmod(F.xxhash64("id", F.lit(1)), F.col("batches")).cast("int"))
     asked = asked.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "batch", "id", "root", "set").toDF("band", "block", "batch", "id", "root", "set")
     blocks = members.join(dealt, "band").select("band", "block", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), "id", "root", "set")
@@ -157,30 +146,31 @@ def _crowd_links(members: DataFrame, roots: DataFrame, similarity: float) -> Dat
 def _roots(first: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, root) of all texts that are similar to another.
 
-    A band value with up to ``CROWD`` texts gives all its pairs whose sizes allow the similarity, each pair once. A crowd
-    is dealt to blocks of about ``BLOCK`` shingles, each with the crowd's smallest text; a block's task links its texts
+    Texts whose fingerprints are linked, directly or not, are a band; only they are compared. A band of up to ``CROWD``
+    texts gives all its pairs whose sizes allow the similarity, each pair once. A crowd is dealt to blocks of about ``BLOCK`` shingles, each with the crowd's smallest text; a block's task links its texts
     by ``forest``. Only for crowds of several blocks do texts that stay outside the largest group go to the other blocks.
     """
     fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m)
-    keyed = first.select("id", "n", F.explode("bands").alias("band"))
+    bands = components(wide_links(first.where("n > 0").select("id", "n", "print"), similarity)).toDF("id", "band")
+    keyed = first.select("id", "n").join(bands, "id")
     shared = keyed.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min(F.struct("id", "n")).alias("low")).where("size > 1")
-    shared = stored(shared, "minhash-bands")
+    shared = stored(shared, "near-bands")
     few = keyed.join(shared.where(F.col("size") <= CROWD).select("band"), "band").groupBy("band").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("m"))
     few = few.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, CROWD)).alias("y"))
-    pairs = stored(few.where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "minhash-pairs")
+    pairs = stored(few.where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "near-pairs")
     crowded = shared.where(F.col("size") > CROWD).select("band", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"), "low")
     block = lambda id_: F.pmod(F.xxhash64(id_), F.col("blocks")).cast("int")
     crowd = keyed.join(crowded, "band").select("band", "id", "n", "blocks", block("id").alias("block"))
     guests = crowded.where("blocks > 1").select("band", "low.id", "low.n", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where(F.col("block") != block("id"))
-    crowd = stored(crowd.unionByName(guests), "minhash-crowds")
+    crowd = stored(crowd.unionByName(guests), "near-crowds")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(crowd.select("id")).distinct()
-    needed = stored(needed.join(first.select("id", "place.key"), "id"), "minhash-needed")
+    needed = stored(needed.join(first.select("id", "place.key"), "id"), "near-needed")
     bucket = F.pmod(F.col("key.h"), F.lit(BUCKETS)).cast("int").alias("bucket")
     wanted = F.broadcast(needed.select(bucket).distinct())  # BUCKETS rows at most
     make = F.pandas_udf(lambda t: pd.Series([shingles(x, shingle) for x in t]), "array<long>")
     held = texts.withColumn("bucket", bucket).join(wanted, "bucket", "left_semi").select("key", make("text").alias("set"))
-    sets = stored(held.groupBy("key").agg(F.first("set").alias("set")).join(needed, "key").select("id", "set"), "minhash-sets")
+    sets = stored(held.groupBy("key").agg(F.first("set").alias("set")).join(needed, "key").select("id", "set"), "near-sets")
 
     side = lambda name: sets.select(F.col("id").alias(name), F.col("set").alias(f"{name}_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -190,7 +180,7 @@ def _roots(first: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     trees = crowd.select("band", "block", "id", "set").groupBy("band", "block").applyInArrow(
         lambda t: _link_table(forest(t.column("id").to_pylist(), _sets(t), similarity)), "a long, b long"
     )
-    links = stored(links.unionByName(trees), "minhash-links")
+    links = stored(links.unionByName(trees), "near-links")
     roots = components(links)
     many = crowd.where("blocks > 1")
     if not crowded.where("blocks > 1").limit(1).count():
@@ -208,9 +198,9 @@ def deduplicate(documents: DataFrame, shingle: int = SHINGLE, similarity: float
     body = F.col(text).cast("string")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("string").alias("same"), F.xxhash64(body).alias("h"))
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), key.alias("key"))
-    make = F.pandas_udf(lambda t: pd.DataFrame([signature(x, shingle) for x in t], columns=["id", "n", "bands"]), "id long, n int, bands array<long>")
+    make = F.pandas_udf(lambda t: pd.DataFrame([signature(x, shingle) for x in t], columns=["id", "n", "print"]), "id long, n int, print binary")
     signed = documents.select(place.alias("place"), make(body).alias("s")).select("place", "s.*")
-    first = stored(signed.groupBy("id").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-first")
+    first = stored(signed.groupBy("id").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("print").alias("print")), "near-first")
     roots = _roots(first, documents.select(key.alias("key"), body.alias("text")), shingle, similarity)
     rooted = first.join(roots, first["id"] == roots["node"], "left").select("place", F.coalesce("root", "id").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("place").alias("place")).select("place.key")
