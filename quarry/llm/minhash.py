@@ -147,7 +147,8 @@ def _roots(first: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     """(node, root) of all texts that are similar to another.
 
     Texts whose fingerprints are linked, directly or not, are a band; only they are compared. A band of up to ``CROWD``
-    texts gives all its pairs whose sizes allow the similarity, each pair once. A crowd is dealt to blocks of about ``BLOCK`` shingles, each with the crowd's smallest text; a block's task links its texts
+    texts gives all its pairs whose sizes allow the similarity, each pair once. A crowd is dealt to blocks of about
+    ``BLOCK`` shingles, each with the crowd's smallest text; a block's task links its texts
     by ``forest``. Only for crowds of several blocks do texts that stay outside the largest group go to the other blocks.
     """
     fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m)

@@ -133,6 +133,11 @@ def wide_blocks(count: int) -> list[np.ndarray]:
     """The bits of each block: enough of them that a value gathers about ``GATHER`` of ``count`` fingerprints, and enough blocks for ``MISS``."""
     size = max(0, math.ceil(math.log2(max(1, count) / GATHER)))
     blocks = math.ceil(math.log(MISS) / math.log(1 - WIDE_AGREE**size)) if size else 1
+    if size * blocks > WIDE:  # blocks share bits, so they fail together: the loss is that over all numbers of differing bits
+        differ = np.array([math.comb(WIDE, d) * (1 - WIDE_AGREE) ** d * WIDE_AGREE ** (WIDE - d) for d in range(WIDE + 1)])
+        apart = 1 - (1 - np.arange(WIDE + 1) / WIDE) ** size
+        while differ @ apart**blocks > MISS:
+            blocks += 1
     rng = np.random.default_rng(SEED)
     order = np.concatenate([rng.permutation(WIDE) for _ in range(size * blocks // WIDE + 1)])
     return [order[i * size : (i + 1) * size] for i in range(blocks)]

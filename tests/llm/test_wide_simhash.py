@@ -98,6 +98,17 @@ def test_pairs_at_the_threshold(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows) == [i for i, _ in rows[::2]]
 
 
+def test_blocks_of_shared_bits():
+    """More bits than there are: pairs at the threshold, some with many differing bits, are lost no oftener."""
+    blocks, rng = simhash.wide_blocks(15_000_000), np.random.default_rng(4)
+    assert sum(map(len, blocks)) > 512 and all(len(set(b)) >= len(b) - 1 for b in blocks)
+    differ = rng.random((60_000, 512)) < 1 - simhash.WIDE_AGREE
+    agree = np.zeros(len(differ), dtype=bool)
+    for b in blocks:
+        agree |= ~differ[:, b].any(axis=1)
+    assert (~agree).sum() <= 9
+
+
 def test_only_linked_fingerprints_are_compared(spark, monkeypatch):
     """Without links of fingerprints only texts of the same words are one: nothing else gives candidates."""
     rows = edited(random.Random(3), [100], 5) + [(98, "the same  words"), (99, "The same words")]
