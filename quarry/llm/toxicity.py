@@ -84,16 +84,15 @@ def _softplus(x: float) -> float:
 def fit(bags: list[list[list[int]]], plain: list[int], y: np.ndarray, n_words: int, steps: int = 300, l2: float = 2e-5, l1: float = 4e-5) -> tuple[float, np.ndarray]:
     """Bias and weights from document labels. bags: per document its sentences with known words, as word numbers; plain:
     the number of its other sentences. Proximal Adam on the noisy-or likelihood; the L1 part leaves neutral words at 0."""
-    doc, sent, word = [], [], []
-    s = 0
-    for i, bag in enumerate(bags):
-        for ids in bag:
-            doc.append(i)
-            sent += [s] * len(ids)
-            word += ids
-            s += 1
-    doc_, sent_, word_ = np.array(doc, dtype=np.int64), np.array(sent, dtype=np.int64), np.array(word, dtype=np.int64)
-    n, plain_ = len(y), np.array(plain, dtype=np.float64)
+    flat = [ids for bag in bags for ids in bag]
+    word = np.array([i for ids in flat for i in ids], dtype=np.int64)
+    return fit_flat(np.array([len(bag) for bag in bags]), np.array([len(ids) for ids in flat], dtype=np.int64), word, np.array(plain), y, n_words, steps, l2, l1)
+
+
+def fit_flat(counts: np.ndarray, sizes: np.ndarray, word_: np.ndarray, plain: np.ndarray, y: np.ndarray, n_words: int, steps: int = 300, l2: float = 2e-5, l1: float = 4e-5) -> tuple[float, np.ndarray]:
+    """``fit`` on flat arrays: ``counts`` sentences a document, ``sizes`` words a sentence, the words' numbers."""
+    n, s, plain_ = len(y), len(sizes), plain.astype(np.float64)
+    doc_, sent_ = np.repeat(np.arange(n), counts), np.repeat(np.arange(s), sizes)
     w, b = np.zeros(n_words), -5.0
     m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
     for t in range(1, steps + 1):
@@ -138,15 +137,19 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_row
     number = {w: i for i, w in enumerate(picked)}
     shared = rows.sparkSession.sparkContext.broadcast(number)
 
-    @F.pandas_udf("struct<known array<array<int>>, plain int>")
+    @F.pandas_udf("struct<words binary, sizes binary, plain int>")
     def known(bags: pd.Series) -> pd.DataFrame:
-        get = shared.value.get
+        """Word numbers and words a sentence as packed ints: nested lists would take the driver many times their bytes."""
+        get, packed = shared.value.get, lambda x: np.array(x, dtype=np.int32).tobytes()
         out = [[[i for w in s if (i := get(w)) is not None] for s in x] for x in bags]
-        return pd.DataFrame({"known": [[s for s in x if s] for x in out], "plain": [sum(not s for s in x) for x in out]})
-
-    got = rows.select("doc_id", known("bag").alias("k"), "label").select("doc_id", "k.known", "k.plain", "label").toPandas().sort_values("doc_id", kind="stable")
-    bags = [[list(map(int, s)) for s in x] for x in got["known"]]
-    b, w = fit(bags, got["plain"].tolist(), got["label"].to_numpy(), len(picked))
+        held = [[s for s in x if s] for x in out]
+        return pd.DataFrame({"words": [packed([i for s in x for i in s]) for x in held], "sizes": [packed([len(s) for s in x]) for x in held], "plain": [len(x) - len(y) for x, y in zip(out, held)]})
+
+    got = rows.select("doc_id", known("bag").alias("k"), "label").select("doc_id", "k.*", "label").toArrow().sort_by("doc_id")
+    sizes = got["sizes"].to_pylist()
+    unpacked = lambda x: np.frombuffer(b"".join(x), dtype=np.int32).astype(np.int64)
+    held = np.array([len(x) // 4 for x in sizes])
+    b, w = fit_flat(held, unpacked(sizes), unpacked(got["words"].to_pylist()), got["plain"].to_numpy(), got["label"].to_numpy(), len(picked))
     return NoisyOr(b, {x: float(w[i]) for x, i in number.items() if w[i] != 0})
 
 
