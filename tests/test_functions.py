@@ -73,3 +73,16 @@ def test_frontier(spark):
     assert one(spark, score, u="x") == 6 + 6 + 50 + 10
     assert one(spark, urls.frontier_priority(F.lit(True), F.lit(2), F.lit(1), F.lit(4)), u="x") == 1 - 2 - 4 - 10000
     assert one(spark, urls.keyword_matches(F.col("u"), ["split", "split", "war"]), u="a split") == 2
+
+
+def test_codes_of_long_and_odd_arrays(spark):
+    """A list of 300,000 values, which the square of its length would not let end; empty and missing ones; ten-byte values."""
+    x = spark.createDataFrame([(1, None), (2, []), (3, [7]), (4, [2**62, 3, 2**40]), (5, [-5, 4])], "n int, v array<bigint>")
+    x = x.unionByName(spark.range(1).select(F.lit(6).alias("n"), F.sequence(F.lit(3_000_000), F.lit(3), F.lit(-10)).cast("array<bigint>").alias("v")))
+    code = codec.vbyte_encode(codec.gaps(F.col("v")))
+    got = {r.n: r for r in x.select("n", codec.gaps(F.col("v")).alias("g"), code.alias("c"), codec.from_gaps(codec.vbyte_decode(code)).alias("back"), codec.vbyte_size(codec.gaps(F.col("v"))).alias("s")).collect()}
+    assert got[1].g is None and got[1].c is None and got[1].back == []
+    assert (got[2].g, got[2].c, got[2].back) == ([], "", []) and (got[3].c, got[3].back) == ("87", [7])
+    assert got[4].back == [3, 2**40, 2**62] and got[5].back == [-5, 4] and got[5].g == [-5, 9]
+    assert len(got[6].back) == 300_000 and got[6].back == sorted(got[6].back) and got[6].back[0] == 10 and got[6].back[-1] == 3_000_000
+    assert all(r.s == len(r.c) // 2 for r in got.values() if r.c is not None)

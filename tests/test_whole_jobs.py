@@ -6,7 +6,7 @@ from math import isclose, sqrt
 
 from pyspark.sql import functions as F
 
-from quarry.operators import learning
+from quarry.operators import index, learning
 from quarry.plans import queries
 
 
@@ -43,3 +43,28 @@ def test_whole_base_and_hits(spark, tmp_path):
         hub = {p: x / norm for p, x in hub.items()}
     rows = {r.page: r for r in queries.QUERIES["hits_k11"](spark, str(tmp_path)).collect()}
     assert set(rows) == base and all(isclose(rows[p].authority, auth[p], abs_tol=1e-7) and isclose(rows[p].hub, hub[p], abs_tol=1e-7) for p in base)
+
+
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_documents_are_counted_without_a_shuffle(spark):
+    """Postings come from a document's own row; documents that repeat an id are joined as one, null ids too."""
+    once = index.tokenised(spark.createDataFrame([(1, "b a b"), (2, "a"), (3, None), (None, "c")], "doc_id long, text string"))
+    assert _exchanges(index.positions(once)) == _exchanges(index.frequencies(once)) == _exchanges(index.Index(once).postings()) == 0
+    assert {(r.doc_id, r.term, r.tf, tuple(r.pos)) for r in index.positions(once).collect()} == {(1, "a", 1, (2,)), (1, "b", 2, (1, 3)), (2, "a", 1, (1,)), (None, "c", 1, (1,))}
+    again = index.tokenised(spark.createDataFrame([(1, "b a b"), (1, "b c"), (2, "a"), (None, "d d"), (None, "d e")], "doc_id long, text string"))
+    want = {(1, "a", 1, (2,)), (1, "b", 3, (1, 1, 3)), (1, "c", 1, (2,)), (2, "a", 1, (1,)), (None, "d", 3, (1, 1, 2)), (None, "e", 1, (2,))}
+    assert {(r.doc_id, r.term, r.tf, tuple(r.pos)) for r in index.positions(again).collect()} == want
+    assert {(r.doc_id, r.term, r.tf) for r in index.frequencies(again).collect()} == {w[:3] for w in want}
+    own = {(r.doc_id, r.dl, r.term, r.tf, tuple(r.pos)) for r in index.Index(again).postings().collect()}
+    assert {(1, 3, "b", 2, (1, 3)), (1, 2, "b", 1, (1,)), (None, 2, "d", 3, (1, 1, 2))} <= own and len(own) == 7
+
+
+def test_lists_are_shuffled_once(spark):
+    c = index.tokenised(spark.createDataFrame([(2, "b a b"), (1, "a")], "doc_id long, text string"))
+    assert _exchanges(index.postings(index.frequencies(c))) == _exchanges(index.postings(index.positions(c))) == 1
+    got = {r.term: (r.df, r.cf, [tuple(p) for p in r.postings]) for r in index.postings(index.frequencies(c)).collect()}
+    assert got == {"a": (2, 2, [(1, 1), (2, 1)]), "b": (1, 2, [(2, 2)])}
+    assert {r.term: [p.doc_id for p in r.postings] for r in index.postings(index.positions(c), ranges=True).collect()} == {"a": [1, 2], "b": [2]}
