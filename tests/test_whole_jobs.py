@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators import index, learning
 from quarry.plans import queries
+from quarry.sources import readers
+from quarry.streaming import increments
 
 
 def test_vectoriser_keeps_all_words(spark):
@@ -68,3 +70,30 @@ def test_lists_are_shuffled_once(spark):
     got = {r.term: (r.df, r.cf, [tuple(p) for p in r.postings]) for r in index.postings(index.frequencies(c)).collect()}
     assert got == {"a": (2, 2, [(1, 1), (2, 1)]), "b": (1, 2, [(2, 2)])}
     assert {r.term: [p.doc_id for p in r.postings] for r in index.postings(index.positions(c), ranges=True).collect()} == {"a": [1, 2], "b": [2]}
+
+
+def test_parts_of_an_index_are_written_when_asked_for(spark, tmp_path):
+    c = index.tokenised(spark.createDataFrame([(1, "b a b"), (2, "a")], "doc_id long, text string"))
+    there = lambda: {p.name for p in (tmp_path / "i").iterdir()}
+    whole = index.grown_index(c, str(tmp_path / "i"), 4)
+    assert whole.forward.count() == 2 and whole.statistics(False).first().total == 4 and there() == {"forward"}
+    assert {tuple(r) for r in whole.vocabulary().collect()} == {("a", 2, 2), ("b", 1, 2)} and there() == {"forward", "vocabulary"}
+    assert whole.statistics().first().vocab == 2 and "postings" not in there()
+    assert {(r.doc_id, r.dl, r.term, r.tf) for r in whole.postings().collect()} == {(1, 3, "a", 1), (1, 3, "b", 2), (2, 1, "a", 1)}
+    assert index.read_index(spark, str(tmp_path / "i")).postings(c.select(F.lit("b").alias("term"))).count() == 1
+
+
+def test_long_lines_and_long_documents(spark, tmp_path):
+    """A class of 40,000 words and a document of 60,000 different ones: neither costs the square of its length."""
+    words = [f"w{i}" for i in range(40_000)]
+    (tmp_path / "stems").write_text("root | " + " ".join(words) + "\nno class\n")
+    rows = readers.stem_classes(spark, str(tmp_path / "stems"))
+    assert "split(value" not in str(rows._jdf.queryExecution().optimizedPlan()).split("Generate")[0]
+    assert {tuple(r) for r in rows.collect()} == {(w, "root") for w in words}
+    text = " ".join(f"x{i}" for i in range(60_000)) + " x5 x5"
+    spark.createDataFrame([(1, text), (2, "x5")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
+    path = str(tmp_path / "out")
+    stream = increments.statistics_stream(increments.document_stream(spark, f"{tmp_path}/in", "doc_id long, text string"))
+    stream.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    got = {r.term: (r.df, r.cf) for r in spark.read.parquet(path).collect()}
+    assert len(got) == 60_000 and got["x5"] == (2, 4) and got["x6"] == (1, 1)
