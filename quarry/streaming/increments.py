@@ -28,13 +28,12 @@ def index_increments(documents: DataFrame, path: str, checkpoint: str) -> Stream
 
 
 def merged_index(spark: SparkSession, path: str) -> DataFrame:
-    return index.merge([spark.read.parquet(path).select("doc_id", "term", "tf", "pos")])
+    return index.merged(spark.read.parquet(path))
 
 
 def statistics_stream(documents: DataFrame) -> DataFrame:
     """Running df and cf per term, for a complete or update sink; exact if each document arrives once."""
-    counts = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
-    rows = index.tokenised(documents).select(F.explode(counts).alias("x"))
+    rows = index.tokenised(documents).select(F.explode(index.counted(F.col("tokens"))).alias("x"))
     return rows.groupBy("x.term").agg(F.sum("x.tf").alias("cf"), F.count("*").alias("df"))
 
 
