@@ -33,10 +33,17 @@ def significant_terms(tokenised: DataFrame | index.Index, terms: DataFrame, k: i
     votes or more, in order of the first term and place that suggests them, ``k`` at most.
     """
     source = index.opened(tokenised)
-    front = source.postings(terms).select("doc_id", F.col("term").alias("asked"))
-    sizes = front.groupBy("asked").agg(F.count("*").alias("n_front"))
-    pairs = source.forward.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    both = front.join(pairs, "doc_id").groupBy("asked", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_docs)
+    asked = [r["term"] for r in terms.select("term").distinct().limit(index.LITERALS + 1).collect()]
+    if len(asked) <= index.LITERALS and index.once(source.forward, ["doc_id"]):  # a document's own row tells all
+        held = F.array_intersect("tokens", F.array(*[F.lit(t) for t in asked]).cast("array<string>"))
+        rows = source.forward.select(held.alias("held"), F.array_distinct("tokens").alias("tokens")).where(F.size("held") > 0)
+        sizes = rows.select(F.explode("held").alias("asked")).groupBy("asked").agg(F.count("*").alias("n_front"))
+        both = rows.select("held", F.explode("tokens").alias("term")).select(F.explode("held").alias("asked"), "term")
+    else:
+        front = source.postings(terms).select("doc_id", F.col("term").alias("asked"))
+        sizes = front.groupBy("asked").agg(F.count("*").alias("n_front"))
+        both = front.join(source.forward.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")), "doc_id")
+    both = both.groupBy("asked", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_docs)
     df = source.vocabulary().select("term", "df")
     n = F.broadcast(source.statistics(False).select("n_docs"))  # one row
     f, b = F.col("n_both") / F.col("n_front"), F.col("df") / F.col("n_docs")
