@@ -29,14 +29,33 @@ def inverted(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("page")).agg(F.array_sort(F.collect_list("dst")).alias("links"))
 
 
+def _names(edges: DataFrame) -> DataFrame | None:
+    """(key, page) of all pages that have text ids, the key a hash of eight bytes; None if ids are not texts or two share a key."""
+    if dict(edges.dtypes)["src"] != "string":
+        return None
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("page")).distinct()
+    names = settled(ends.select(_key("page").alias("key"), "page"))
+    return names if names.count() == names.select("key").distinct().count() else None
+
+
+def _key(page: str) -> Column:
+    return F.when(F.col(page).isNotNull(), F.xxhash64(page))
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-4, every: int = 3) -> DataFrame:
     """(page, rank) over the N pages that are linked to.
 
     rank = (1 - d) / N + d * (mass of pages without out-links) / N + d * sum of rank(q) / out(q), repeated edges counted
     and sources that nobody links to giving nothing. Stops when the ranks change by ``tolerance`` or less in sum, or
     after ``iterations``; with no tolerance it runs them all and keeps a checkpoint ``every`` few. Edges are brought to
-    one weighted row per pair first. One shuffle of contributions per iteration; one number reaches the driver.
+    one weighted row per pair first. One shuffle of contributions per iteration; one number reaches the driver. Text ids
+    stay out of the iterations: hashes of eight bytes stand for them, if no two of them are equal.
     """
+    names = _names(edges)
+    if names is not None:
+        keyed = edges.select(_key("src").alias("src"), _key("dst").alias("dst"))
+        ranks = pagerank(keyed, damping, iterations, tolerance, every).withColumnRenamed("page", "own")
+        return ranks.join(names, F.col("own").eqNullSafe(F.col("key"))).select("page", "rank")
     pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
     out = pairs.groupBy("src").agg(F.sum("w").alias("n_out"))
     weighted = settled(pairs.join(out, "src").select("src", "dst", (F.col("w") / F.col("n_out")).alias("share")))
@@ -67,17 +86,30 @@ def base_set(roots: DataFrame, edges: DataFrame, rounds: int = 3, per_page: int
     Which links stand in for a random choice is the order of the neighbours' SHA-256. Stops after ``rounds``, or before
     a round if ``target`` pages are reached.
     """
-    both = edges.select(F.col("src").alias("page"), F.col("dst").alias("other"), F.lit("out").alias("way")).unionByName(edges.select(F.col("dst").alias("page"), F.col("src").alias("other"), F.lit("in").alias("way"))).distinct()
-    w = Window.partitionBy("page", "way").orderBy(F.sha2(F.col("other").cast("string"), 256), "other")
+    links = settled(edges.select("src", "dst").distinct())
+    ways = {"out": ("src", "dst"), "in": ("dst", "src")}
+    kept = {way: _first_links(links.select(F.col(a).alias("page"), F.col(b).alias("other")), per_page) for way, (a, b) in ways.items()}
     pages = settled(roots.select("page").distinct())
     for _ in range(rounds):
         if pages.count() >= target:
             break
-        near = both.join(pages, "page", "left_semi").withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_page)
-        pages = settled(pages.unionByName(near.select(F.col("other").alias("page"))).distinct())
+        found = pages
+        for rows in kept.values():
+            found = found.unionByName(rows.join(pages, "page", "left_semi").select(F.col("other").alias("page")))
+        pages = settled(found.distinct())
     return pages
 
 
+def _first_links(links: DataFrame, most: int) -> DataFrame:
+    """(page, other): each page's first ``most`` links by SHA-256. Only pages of more links are sorted."""
+    crowded = settled(links.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > most).select("page"))
+    if not crowded.count():
+        return links
+    w = Window.partitionBy("page").orderBy(F.sha2(F.col("other").cast("string"), 256), "other")
+    cut = links.join(crowded, "page", "left_semi").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    return settled(links.join(crowded, "page", "left_anti").unionByName(cut.select("page", "other")))
+
+
 def hits(edges: DataFrame, base: DataFrame, iterations: int = 11, tolerance: float | None = None, every: int = 2) -> DataFrame:
     """(page, authority, hub) over links inside the base set, repeated links counted; both have norm 1.
 

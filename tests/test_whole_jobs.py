@@ -6,7 +6,7 @@ from math import isclose, sqrt
 
 from pyspark.sql import functions as F
 
-from quarry.operators import index, learning
+from quarry.operators import graph, index, learning
 from quarry.plans import queries
 from quarry.sources import readers
 from quarry.streaming import increments
@@ -97,3 +97,26 @@ def test_long_lines_and_long_documents(spark, tmp_path):
     stream.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(path)).option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
     got = {r.term: (r.df, r.cf) for r in spark.read.parquet(path).collect()}
     assert len(got) == 60_000 and got["x5"] == (2, 4) and got["x6"] == (1, 1)
+
+
+def test_text_ids_stay_out_of_pagerank(spark, monkeypatch):
+    """Ranks of text ids equal those of numbers; ids whose hashes are equal keep their texts."""
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (4, 3), (3, 5), (6, None)], "src long, dst long")
+    texts = pairs.select(F.concat(F.lit("p"), F.col("src").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("dst").cast("string")).alias("dst"))
+    ranks = lambda e: {str(r.page).lstrip("p"): round(r.rank, 12) for r in graph.pagerank(e, iterations=4, tolerance=None).collect()}
+    assert graph._names(texts).count() == 7 and graph._names(pairs) is None
+    want = ranks(pairs)
+    assert ranks(texts) == want and len(want) == 5
+    monkeypatch.setattr(graph, "_key", lambda c: F.length(c).cast("long"))
+    assert graph._names(texts) is None and ranks(texts) == want
+
+
+def test_saved_vectors_stay_sparse(spark, tmp_path):
+    """A vocabulary of 200,000 words: arrays of that length for 400 mails would be 640 MB."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(500)) + " same same", 0) for i in range(400)] + [(400, "", 1)]
+    spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = queries.QUERIES["saved_vectors"](spark, str(tmp_path))
+    assert "unwrap_udt" in str(df._jdf.queryExecution().optimizedPlan()) and "UDF(" not in str(df._jdf.queryExecution().optimizedPlan())
+    got = {r.doc_id: (r.words, r.total) for r in df.collect()}
+    assert len(got) == 400 and set(got.values()) <= {(501, 502.0), (1, 2.0)}
