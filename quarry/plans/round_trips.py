@@ -242,11 +242,9 @@ def streamed_statistics(spark, d):
 @query(f"WITH {SQL_MAILS} SELECT doc_id, count(DISTINCT token) AS words, count(*)::DOUBLE AS total FROM (SELECT doc_id, unnest(tokens) AS token FROM m) WHERE token IN (SELECT unnest(tokens) FROM m WHERE split = 'train') GROUP BY doc_id")
 def saved_vectors(spark, d):
     """Word counts of all mails by the vectoriser of the training ones, both saved and loaded again."""
-    from pyspark.ml.functions import vector_to_array
-
     path, m = new_folder(spark, "vectors"), mails(spark, d)
     learning.save_vectors(learning.vectoriser(m.where("split = 'train'")), m, path)
     _, matrix = learning.load_vectors(spark, path)
-    held = F.filter(vector_to_array("x"), lambda v: v > 0)
+    held = F.filter(F.unwrap_udt("x")["values"], lambda v: v > 0)  # the vectors stay sparse: a whole one has the length of the vocabulary
     rows = matrix.select("doc_id", held.alias("held")).where(F.size("held") > 0)
     return rows.select("doc_id", F.size("held").cast("long").alias("words"), F.aggregate("held", F.lit(0.0), lambda a, v: a + v).alias("total"))
